@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("contamination", "simhash")
+MODULES = ("toxicity",)
 
 
 def queries() -> dict:
