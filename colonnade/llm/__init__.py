@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("toxicity",)
+MODULES = ("contamination", "topk", "simhash", "toxicity", "linechunks", "suffixes", "urltree", "tokenrollup", "quality", "mixing")
 
 
 def queries() -> dict:

@@ -137,25 +137,34 @@ def _blocks(items: Iterator[tuple[int, list[str]]], block_tokens: int) -> Iterat
         yield block
 
 
+def hits(text: str | None, seeds: Seeds, threshold: float) -> list[tuple[int, int, int, int]]:
+    """(item of the block, its tokens, tokens under tiles, tiles) of each item covered to the threshold."""
+    known = [seeds.words.get(w, -1) for w in tokens(text)]
+    out = []
+    for i in seeds.candidates(np.array(known, np.int64), threshold) if len(known) >= seeds.k else ():
+        near = [x if x >= 0 else -1 - n for n, x in enumerate(known)]  # words that no item has match nothing
+        tiles = tile(seeds.items[i], near, seeds.k)
+        got, size = sum(n for _, _, n in tiles), len(seeds.items[i])
+        if got >= threshold * size:
+            out.append((i, size, got, len(tiles)))
+    return out
+
+
+def _seeded(benchmark: DataFrame, min_match: int, block_tokens: int) -> Iterator[Seeds]:
+    rows = benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator()
+    items = ((r["item_id"], t) for r in rows if len(t := tokens(r["text"])) >= min_match)
+    return (Seeds(block, min_match) for block in _blocks(items, block_tokens))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, min_match: int = 3, block_tokens: int = 2_000_000) -> DataFrame:
     """Pairs of RESULT with coverage at or above the threshold."""
 
-    def matcher(items: list[tuple[int, list[str]]]):
-        seeds = Seeds(items, min_match)
-
+    def matcher(seeds: Seeds):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            get = seeds.words.get
             for b in batches:
                 out = []
                 for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    ids = [get(w, -1) for w in tokens(text.as_py())]
-                    for i in seeds.candidates(np.array(ids, np.int64), threshold) if len(ids) >= min_match else ():
-                        # words that no item has can't match: runs of them count as one gap
-                        near = [x if x >= 0 else -1 - n for n, x in enumerate(ids)]
-                        tiles = tile(seeds.items[i], near, min_match)
-                        got, size = sum(n for _, _, n in tiles), len(seeds.items[i])
-                        if got >= threshold * size:
-                            out.append((doc_id, seeds.ids[i], size, got, len(tiles), got / size))
+                    out += [(doc_id, seeds.ids[i], size, got, n, got / size) for i, size, got, n in hits(text.as_py(), seeds, threshold)]
                 cols = list(zip(*out, strict=True)) or [()] * 6
                 kinds = [pa.int64()] * 5 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in RESULT.split(", ")])
@@ -163,20 +172,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
         return run
 
     slim = docs.select(F.col("doc_id").cast("long"), "text")
-    items = ((r["item_id"], t) for r in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator() if len(t := tokens(r["text"])) >= min_match)
     out = None
-    for block in _blocks(items, block_tokens):
-        part = slim.mapInArrow(matcher(block), RESULT)
+    for seeds in _seeded(benchmark, min_match, block_tokens):
+        part = slim.mapInArrow(matcher(seeds), RESULT)
         out = part if out is None else out.unionAll(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], RESULT)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without those that contain an item to the threshold; rows with a null doc_id are matched by their text."""
-    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
-    keyed = docs.withColumn("__k", key)
-    hits = contaminated(keyed.select(F.col("__k").alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias("__k")).distinct()
-    return keyed.join(hits, "__k", "left_anti").select(*docs.columns)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, min_match: int = 3, block_tokens: int = 2_000_000) -> DataFrame:
+    """docs without the rows that contain an item to the threshold. Rows stay where they are: nothing is shuffled."""
+    at = docs.columns.index("text")
+
+    def cleaner(seeds: Seeds):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array([not hits(t.as_py(), seeds, threshold) for t in b.column(at)], pa.bool_()))
+
+        return run
+
+    for seeds in _seeded(benchmark, min_match, block_tokens):
+        docs = docs.mapInArrow(cleaner(seeds), docs.schema)
+    return docs
 
 
 def op1_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:

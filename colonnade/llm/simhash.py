@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colonnade.functions.shared import cut
@@ -51,15 +51,16 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int(sum(1 << i for i in np.flatnonzero(2 * counts > len(hashes)).tolist()))
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, words: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns to keep, and fp (the 64 bits as a signed long)."""
+    own = docs.select(*keep, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            fp = np.array([fingerprint(t.as_py(), words) for t in b.column(len(keep))], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp, pa.int64())], names=[*keep, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return own.mapInArrow(run, own.drop("text").schema.add("fp", "long"))
 
 
 def _masks(bits: int, flips: int) -> np.ndarray:
@@ -128,18 +129,33 @@ def ball_links(fps: DataFrame, radius: int = 4, block: int = 4096) -> DataFrame:
     return dealt.groupBy("lead").applyInArrow(run, "u long, v long")
 
 
+def rooted(fps: DataFrame, radius: int = 4) -> DataFrame:
+    """(fp, root) for each distinct fp of fps: the same root for all fingerprints linked over any way."""
+    distinct = cut(fps.select("fp").distinct())
+    linked = components(ball_links(distinct, radius))
+    return cut(distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
     """One row per document: doc_id, fingerprint (hex), component_id (smallest doc_id reachable over links)."""
-    found = cut(fingerprints(docs, words))
-    distinct = cut(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    linked = components(ball_links(distinct.select("fp"), radius))
-    rooted = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = cut(rooted)
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
+    found = cut(fingerprints(docs.withColumn("doc_id", F.col("doc_id").cast("long")), words))
+    roots = rooted(found, radius)
+    least = found.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp")
+    smallest = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = roots.join(smallest, "root").select("fp", "component_id")
     return found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id (null last), then of the least hash of its text."""
+    keyed = docs.withColumn("__d", F.coalesce("doc_id", F.lit(0))).withColumn("__t", F.xxhash64(F.col("doc_id").isNull(), "text")).withColumn("__n", F.col("doc_id").isNull())
+    found = cut(fingerprints(keyed, words, ("__n", "__d", "__t")))
+    first = found.join(rooted(found, radius), "fp").groupBy("root").agg(F.min(F.struct("__n", "__d", "__t")).alias("f")).select("f.__d", "f.__t")
+    stays = keyed.join(first, ["__d", "__t"], "left_semi")
+    again = F.row_number().over(Window.partitionBy("__d", "__t").orderBy(F.lit(1)))  # the same row given twice
+    return stays.withColumn("__again", again).where("__again = 1").select(*docs.columns)
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
