@@ -9,7 +9,8 @@ labelled pages, (bad + strength * prior) / (labelled + strength), prior being th
 pages; templates of purity ``reject`` or more are blocked. Rules given by hand come before the method.
 
 Segments after ``depth`` count as one. A level is one partial aggregate on (host, template, segment) and one
-join back on that key, so a host with a third of all pages is counted map-side and spread by its segments.
+join back on that key, so a host with a third of all pages is counted map-side and spread by its segments;
+the rows (without html) are checkpointed after it.
 
 Defined cases: a null url or one without ``://`` has empty host and path (one template of its own); a null
 label is unlabelled; repeated rows count as often as they occur; an empty table gives an empty result; other
@@ -23,6 +24,8 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colonnade.functions.shared import cut
+
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 ADDED = ("host", "path", "rule", "template", "purity", "verdict")
 #: (host, path, verdict)
@@ -54,7 +57,7 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
     """pages (url, and bad: 1, 0 or null where unlabelled) with host, path, rule, template, purity and verdict."""
     own = [c for c in pages.columns if c not in (*ADDED, "bad")]
     rows = pages.select(*own, F.col("bad").cast("long").alias("__bad"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rows = rows.withColumn("__s", _segments(F.col("path"), depth)).withColumn("template", F.lit(""))
+    rows = cut(rows.withColumn("__s", _segments(F.col("path"), depth)).withColumn("template", F.lit("")))
     count = (F.sum("n"), F.sum("l"), F.sum("b"))
     for level in range(depth):
         seg = F.get("__s", F.lit(level))
@@ -64,9 +67,10 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
         p = (F.col("nb") + 1.0) / (F.col("nl") + 2.0)
         apart = F.abs((F.col("b") - F.col("l") * p)) > F.lit(z) * F.sqrt(F.col("l") * p * (F.lit(1.0) - p))
         named = branch.join(node, ["host", "template"]).where((F.col("k") <= F.lit(variable) * F.col("nn")) & (F.col("l") > 0) & apart).select("host", "template", "__seg", F.lit(True).alias("__lit"))
-        rows = at.join(named, ["host", "template", "__seg"], "left").withColumn("template", F.when(F.col("__seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("__lit"), F.col("__seg")).otherwise(F.lit("*"))))).drop("__lit", "__seg")
+        # a level reads its rows three times: without a cut the plan would grow threefold with each
+        rows = cut(at.join(named, ["host", "template", "__seg"], "left").withColumn("template", F.when(F.col("__seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("__lit"), F.col("__seg")).otherwise(F.lit("*"))))).drop("__lit", "__seg"))
     groups = rows.groupBy("host", "template").agg(F.count("__bad").alias("l"), F.coalesce(F.sum("__bad"), F.lit(0)).alias("b"))
-    prior = pages.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1.0) / (F.count("bad") + 2.0)).alias("prior"))
+    prior = rows.agg(((F.coalesce(F.sum("__bad"), F.lit(0)) + 1.0) / (F.count("__bad") + 2.0)).alias("prior"))
     pure = groups.join(F.broadcast(prior)).select("host", "template", ((F.col("b") + F.lit(strength) * F.col("prior")) / (F.col("l") + F.lit(strength))).alias("purity"))
     rule = ruled(rules, F.col("host"), F.col("path"))
     out = rows.join(pure, ["host", "template"]).withColumn("__r", rule)
