@@ -27,6 +27,8 @@ from colonnade.functions.prefix import global_row_number
 from colonnade.functions.shared import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Per-source rows are broadcast up to this number (about 100 bytes each); beyond it they are joined by shuffle.
+SMALL = 50_000
 ADDED = ("size", "source_size", "target", "copies", "taken")
 KEY_BITS, STEP_BITS = 52, 13
 
@@ -62,13 +64,13 @@ def source_targets(sizes: DataFrame, max_copies: int, weight: Callable[[Column],
     return ranked.withColumn("target", F.least(cap.cast("double"), F.lit(level or 0.0) * F.col("__weight"))).drop("__weight")
 
 
-def _cutoffs(keyed: DataFrame, plan: DataFrame) -> DataFrame:
+def _cutoffs(keyed: DataFrame, plan: DataFrame, small: bool) -> DataFrame:
     """Per source the cut-off: keys below __cut are drawn, the documents at __cut too if __with. plan: __source, __need."""
     found = plan.withColumn("__low", F.lit(0).cast("long")).withColumn("__got", F.lit(0).cast("long")).where(F.col("__need") > 0)
     same = lambda a, b: a["__source"].eqNullSafe(b["__source"])
     for shift in range(KEY_BITS - STEP_BITS, -1, -STEP_BITS):
         k, f = keyed.alias("k"), found.alias("f")
-        inside = k.join(f, same(keyed, found) & (F.shiftright("k.__key", shift + STEP_BITS) == F.shiftright("f.__low", shift + STEP_BITS)))
+        inside = k.join(F.broadcast(f) if small else f, same(keyed, found) & (F.shiftright("k.__key", shift + STEP_BITS) == F.shiftright("f.__low", shift + STEP_BITS)))
         sums = inside.groupBy(F.col("f.__source").alias("__source"), "f.__need", "f.__got", F.shiftright("k.__key", shift).alias("__b")).agg(F.sum("k.size").alias("__words"))
         upto = F.sum("__words").over(Window.partitionBy("__source").orderBy("__b"))
         reached = sums.withColumn("__upto", F.col("__got") + upto).where(F.col("__upto") >= F.col("__need"))
@@ -90,6 +92,8 @@ def mix_sources(docs: DataFrame, weight: Callable[[Column], Column] = cyclic_wei
     target = source_targets(sources, max_copies, weight)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = cut(target.withColumn("__whole", whole).withColumn("__need", F.col("target") - F.col("__whole") * F.col("source_size")))
+    small = plan.count() <= SMALL
+    sent = lambda d: F.broadcast(d) if small else d
 
     def keyed(rows: DataFrame) -> DataFrame:
         """Adds the order key: q / (1 + q) on 52 bits, which keeps the order of q."""
@@ -98,10 +102,10 @@ def mix_sources(docs: DataFrame, weight: Callable[[Column], Column] = cyclic_wei
         return rows.withColumn("__key", F.when((F.col("__need") > 0) & (F.col("__i") > 0), F.floor(q / (F.lit(1.0) + q) * F.lit(float(1 << KEY_BITS))).cast("long")))
 
     a, b = slim.alias("a"), plan.alias("b")
-    slim_keys = keyed(a.join(b, F.col("a.__source").eqNullSafe(F.col("b.__source"))).select("a.*", "b.source_size", "b.__need", "b.__mean")).where(F.col("__key").isNotNull()).select("__source", "size", "__key")
-    c = _cutoffs(slim_keys, plan.select("__source", "__need")).alias("c")
+    slim_keys = keyed(a.join(sent(b), F.col("a.__source").eqNullSafe(F.col("b.__source"))).select("a.*", "b.source_size", "b.__need", "b.__mean")).where(F.col("__key").isNotNull()).select("__source", "size", "__key")
+    c = _cutoffs(cut(slim_keys), plan.select("__source", "__need"), small).alias("c")
     decided = b.join(c, F.col("b.__source").eqNullSafe(F.col("c.__source")), "left").select("b.*", "c.__cut", "c.__with").alias("s")
-    out = keyed(sized.join(decided, sized["source"].eqNullSafe(F.col("s.__source"))))
+    out = keyed(sized.join(sent(decided), sized["source"].eqNullSafe(F.col("s.__source"))))
     drawn = F.coalesce((F.col("__key") < F.col("__cut")) | ((F.col("__key") == F.col("__cut")) & F.col("__with")), F.lit(False))
     out = out.withColumn("copies", (F.col("__whole") + drawn.cast("long")).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
     return out.select(*(c for c in docs.columns if c not in ADDED), *ADDED)
