@@ -112,13 +112,16 @@ def shard_spans(rows: list[tuple[str, list[int], bytes]], length: int) -> list[t
 
 
 def _anchor_lists(texts: DataFrame, length: int, anchor: int) -> DataFrame:
+    """Each text's distinct anchors, and how often it has them: a text that repeats itself counts once for each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [np.frombuffer(t.as_py().encode(), np.uint8) for t in b.column(1)]
-            lists = [anchors(d, length, anchor)[0].view(np.int64) for d in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["key", "h"])
+            counted = [np.unique(anchors(d, length, anchor)[0].view(np.int64), return_counts=True) for d in found]
+            lists = [pa.array([c[i] for c in counted], pa.list_(pa.int64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists], names=["key", "h", "n"])
 
-    return texts.select("key", "text").mapInArrow(run, "key string, h array<long>")
+    return texts.select("key", "text").mapInArrow(run, "key string, h array<long>, n array<long>")
 
 
 def _segments(texts: DataFrame, length: int, anchor: int) -> DataFrame:
@@ -192,8 +195,8 @@ def removed_spans(docs: DataFrame, table: str, length: int = 400, anchor: int =
     texts = spark.table(table)
     long = texts.where(F.octet_length("text") >= length)
     lists = cut(_anchor_lists(long, length, anchor))
-    each = lists.select("key", F.explode("h").alias("h"))
-    repeated = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    each = lists.select("key", F.explode(F.arrays_zip("h", "n")).alias("e")).select("key", "e.h", "e.n")
+    repeated = cut(each.groupBy("h").agg(F.sum("n").alias("all")).where("all > 1").select("h"))
     wanted = each.join(repeated, "h").groupBy("key").agg(F.collect_set("h").alias("wanted"))
     segments = _segments(long.join(wanted, "key").select("key", "text", "wanted"), length, anchor)
     return texts, _shards(segments.repartition(n, "h").sortWithinPartitions("h"), length, part)
