@@ -38,3 +38,15 @@ def global_running_sum(df: DataFrame, order: list[Column], value: str, name: str
     offsets = _offsets(ranged.groupBy("__part").agg(F.coalesce(F.sum(value), F.lit(0)).alias("__s")), "__s")
     local = F.coalesce(F.sum(value).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
     return ranged.withColumn(name, local).join(offsets, "__part").withColumn(name, F.col(name) + F.col("__s_before")).drop("__part", "__s_before")
+
+
+def global_last_before(df: DataFrame, order: list[Column], value: str, name: str, parts: int | None = None) -> DataFrame:
+    """Adds ``name``: the last value before the row, in the order given, that is not null."""
+    ranged = _ranged(df, order, parts)
+    before = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ends = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lasts = ranged.withColumn("__l", F.last(value, ignorenulls=True).over(ends)).groupBy("__part").agg(F.first("__l").alias("__l"))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = F.broadcast(lasts.select("__part", F.last("__l", ignorenulls=True).over(earlier).alias("__e")))
+    local = F.last(value, ignorenulls=True).over(before)
+    return ranged.withColumn(name, local).join(offsets, "__part").withColumn(name, F.coalesce(name, "__e")).drop("__part", "__e")

@@ -78,8 +78,10 @@ def typed_order(df: DataFrame, order: str, key: str | None) -> list[Column]:
     return [c.asc_nulls_first() for c in order_fields(df, order, key)]
 
 
-def _poisoned(fn: str, pair: Pair, blank: Column, rank: Column, where: Column) -> list[Column]:
-    """Aggregates of one function: its value's parts, and the first error in order. Blank cells are skipped."""
+def _poisoned(fn: str, pair: Pair, blank: Column, rank: Column, where: Column, stored: bool) -> list[Column]:
+    """The value of one function and the first error in order. Blank cells are skipped; count counts rows, so stored text does not break it."""
+    if fn == "count" and stored:
+        return [F.count(F.when(where, 1)).cast("double"), F.max(none())]
     use = where & ~blank
     v = F.when(use, pair.value)
     first = F.min_by(F.when(use, pair.err), F.when(use & pair.err.isNotNull(), rank))
@@ -116,7 +118,7 @@ def group_aggregate(df: DataFrame, name: str, tree: Agg, table: TableDef) -> Dat
     unknown = next((c for c in [tree.column, *(p for p, _ in tree.literal), *(c for s in tree.same for c in s)] if c not in df.columns), None)
     if unknown:
         return df.withColumns({name: F.lit(None).cast("double"), f"{name}__err": F.lit(unknown)})
-    value, err = _poisoned(tree.fn, _pair(df, tree.column), _blank(df, tree.column), _rank(df, table), F.lit(True))
+    value, err = _poisoned(tree.fn, _pair(df, tree.column), _blank(df, tree.column), _rank(df, table), F.lit(True), False)
     keys = [F.col(p).cast("string").alias(f"__p{i}") for i, (p, _) in enumerate(tree.same)]
     groups = df.where(_matches(tree.literal)).groupBy(*keys).agg(value.alias("__v"), err.alias("__e"))
     on = F.lit(True)
@@ -219,7 +221,7 @@ def scalars(df: DataFrame, table: TableDef) -> DataFrame:
         if missing:
             columns += [F.lit(None).cast("double").alias(name), F.lit(missing).alias(f"{name}__err")]
             continue
-        value, err = _poisoned(tree.fn, _pair(df, tree.column), _blank(df, tree.column), _rank(df, table), _matches(tree.literal))
+        value, err = _poisoned(tree.fn, _pair(df, tree.column), _blank(df, tree.column), _rank(df, table), _matches(tree.literal), f"{tree.column}__err" not in df.columns)
         v, e = _finish(value, err, tree.fn)
         columns += [v.alias(name), e.alias(f"{name}__err")]
     return df.agg(*columns)
