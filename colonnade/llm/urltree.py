@@ -6,7 +6,7 @@ Of the literal branches that are left, each whose labelled share of bad pages do
 node's by more than ``z`` standard errors is merged into ``*`` too: only branches that behave differently
 stay apart. The template of a page is its path after that. Its purity is the smoothed share of bad among its
 labelled pages, (bad + strength * prior) / (labelled + strength), prior being the share over all labelled
-pages; templates of purity ``reject`` or more are blocked. Rules given by hand come before the method.
+pages (0 without any); templates of purity ``reject`` or more are blocked. Rules given by hand come before the method.
 
 Segments after ``depth`` count as one. A level is one partial aggregate on (host, template, segment) and one
 join back on that key, so a host with a third of all pages is counted map-side and spread by its segments;
@@ -70,8 +70,9 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
         # a level reads its rows three times: without a cut the plan would grow threefold with each
         rows = cut(at.join(named, ["host", "template", "__seg"], "left").withColumn("template", F.when(F.col("__seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("__lit"), F.col("__seg")).otherwise(F.lit("*"))))).drop("__lit", "__seg"))
     groups = rows.groupBy("host", "template").agg(F.count("__bad").alias("l"), F.coalesce(F.sum("__bad"), F.lit(0)).alias("b"))
-    prior = rows.agg(((F.coalesce(F.sum("__bad"), F.lit(0)) + 1.0) / (F.count("__bad") + 2.0)).alias("prior"))
-    pure = groups.join(F.broadcast(prior)).select("host", "template", ((F.col("b") + F.lit(strength) * F.col("prior")) / (F.col("l") + F.lit(strength))).alias("purity"))
+    prior = rows.agg(F.coalesce(F.try_divide(F.sum("__bad").cast("double"), F.count("__bad")), F.lit(0.0)).alias("prior"))
+    # a table of its own size, known before the join: small ones go to the pages, large ones are dealt and can be split
+    pure = cut(groups.join(F.broadcast(prior)).select("host", "template", ((F.col("b") + F.lit(strength) * F.col("prior")) / (F.col("l") + F.lit(strength))).alias("purity")))
     rule = ruled(rules, F.col("host"), F.col("path"))
     out = rows.join(pure, ["host", "template"]).withColumn("__r", rule)
     method = F.when(F.col("purity") >= reject, "block").otherwise("allow")
@@ -110,7 +111,7 @@ u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]
   try_cast(nullif(regexp_extract(regexp_extract(url, '(?s)://([^?#]*)', 1), '([0-9]+)[^/0-9]*/?$', 1), '') AS BIGINT) AS doc FROM pages),
 v AS (SELECT u.*, bad, CASE WHEN path = '' THEN [] ELSE string_split(regexp_replace(path, '^/', ''), '/') END AS s0 FROM u LEFT JOIN lab USING (doc)),
 t0 AS (SELECT page_id, host, path, bad, '' AS template, {rest} AS s FROM v),{"".join(steps)}
-prior AS (SELECT (coalesce(sum(bad), 0) + 1.0::DOUBLE) / (count(bad) + 2.0::DOUBLE) AS prior FROM t0),
+prior AS (SELECT coalesce(sum(bad)::DOUBLE / nullif(count(bad), 0), 0.0::DOUBLE) AS prior FROM t0),
 g AS (SELECT host, template, (coalesce(sum(bad), 0) + 10.0::DOUBLE * (SELECT prior FROM prior)) / (count(bad) + 10.0::DOUBLE) AS purity FROM t{depth} GROUP BY ALL)
 SELECT page_id, host, path, {case(lambda h, p, v: h + p)} AS rule, coalesce({case(lambda h, p, v: v)}, CASE WHEN purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 9) AS purity
 FROM t{depth} JOIN g USING (host, template)
