@@ -88,7 +88,7 @@ def mix_sources(docs: DataFrame, weight: Callable[[Column], Column] = cyclic_wei
     """
     sized = docs.drop(*ADDED).withColumn("size", word_count(F.col("text"))).withColumn("__u", _draw(seed, F.col("doc_id"), F.col("text"))).withColumn("__i", importance if importance is not None else F.lit(1.0))
     slim = cut(sized.select(F.col("source").alias("__source"), "size", "__u", "__i"))
-    sources = slim.groupBy("__source").agg(F.sum("size").cast("long").alias("source_size"), (F.sum(F.col("size") * F.col("__i")) / F.sum("size")).alias("__mean"))
+    sources = slim.groupBy("__source").agg(F.sum("size").cast("long").alias("source_size"), F.try_divide(F.sum(F.col("size") * F.col("__i")), F.sum("size")).alias("__mean"))
     target = source_targets(sources, max_copies, weight)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = cut(target.withColumn("__whole", whole).withColumn("__need", F.col("target") - F.col("__whole") * F.col("source_size")))
