@@ -169,12 +169,24 @@ def test_ball_links_miss_no_chain(spark):
         fps.append(f)
     fps = sorted(set(fps))
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    got = {r["fp"]: r["root"] for r in simhash.rooted(spark.createDataFrame([(s,) for s in signed], "fp long")).collect()}
+    got = {r["node"]: r["root"] for r in simhash.rooted(spark.createDataFrame([(s, [s]) for s in signed], "node long, fps array<long>")).collect()}
     want = linked_by_definition(fps)
     groups = lambda label: {frozenset(i for i in range(len(fps)) if label(i) == g) for g in map(label, range(len(fps)))}
     assert groups(lambda i: got[signed[i]]) == groups(lambda i: want[i])
 
 
+def test_several_fingerprints_link_what_one_misses(spark):
+    rng = random.Random(7)
+    words = [f"w{rng.randint(0, 500)}" for _ in range(400)]
+    near = list(words)
+    for i in (40, 120, 200, 280, 360):
+        near[i] = "edited"
+    texts = [" ".join(words), " ".join(near), " ".join(rng.sample(words, 400))]
+    assert [r["doc_id"] for r in simhash.one_of_each(documents(spark, texts), n=32).orderBy("doc_id").collect()] == [0, 2]
+    fps = [simhash.several(t, 5, 32) for t in texts]
+    assert fps[0][0] == simhash.fingerprint(texts[0], 5) == fingerprint_by_definition(texts[0], 5) and len(set(fps[0])) == 32
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100 + i, 100) for i in range(1, 30)] + [(5, 5)]
     got = dict(components(spark.createDataFrame(edges, "u long, v long")).distinct().collect())
