@@ -7,8 +7,8 @@ all documents the first (smallest doc_id, then earliest) stays; every other one
 compared with those of the one that stays. Lines in chunks of one line are never removed.
 
 Counting and choosing move hashes only. A text moves twice: once to fetch the chunks that stay, once to
-remove the others. No key gathers rows without a partial aggregate before the shuffle, and joins on a
-frequent chunk are plain equi-joins that adaptive execution can split.
+remove the others. No key gathers rows without a partial aggregate before the shuffle; a frequent chunk's
+rows meet the one that stays in slices (:mod:`slices`).
 
 Defined cases: a null text stays null, with n_lines and n_removed 0; an empty text has one empty line; a
 text that loses all lines becomes the empty string; a null doc_id sorts last; rows with equal doc_id and
@@ -23,6 +23,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colonnade.functions.shared import cut
+from colonnade.llm.slices import sliced_join
+
 PRIME, BASE = 1_000_003, 257
 
 
@@ -69,15 +72,16 @@ def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 3) -> DataFrame
         return F.transform(F.filter(cs, lambda c: c["n"] >= 2), lambda c: F.struct(c["idx"].alias("idx"), F.xxhash64(_joined(ls, c)).alias("h")))
 
     rows = keyed.where(F.col("text").contains("\n")).select("__d", "__t", F.col("doc_id").isNull().alias("__null"), F.explode(chunks(F.col("text"), window, divisor, found)).alias("c")).select("__d", "__t", "__null", "c.idx", "c.h")
-    first = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("__null", "__d", "__t", "idx")).alias("f")).where("n >= 2").select("h", F.col("f.__d").alias("fd"), F.col("f.__t").alias("ft"), F.col("f.idx").alias("fi"))
+    first = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("__null", "__d", "__t", "idx")).alias("f")).where("n >= 2").select("h", "n", F.col("f.__d").alias("fd"), F.col("f.__t").alias("ft"), F.col("f.idx").alias("fi")))
     wanted = first.groupBy(F.col("fd").alias("__d"), F.col("ft").alias("__t")).agg(F.collect_list(F.struct(F.col("fi").alias("idx"), "h")).alias("w"))
 
     def fetched(ls: Column, cs: Column) -> Column:
         return F.transform(F.col("w"), lambda w: F.struct(w["h"].alias("h"), _joined(ls, F.get(cs, w["idx"])).alias("kept")))
 
     kept = keyed.join(wanted, ["__d", "__t"]).select(F.explode(chunks(F.col("text"), window, divisor, fetched)).alias("k")).select("k.h", "k.kept")
-    later = rows.join(first, "h").where(~((F.col("__d") == F.col("fd")) & (F.col("__t") == F.col("ft")) & (F.col("idx") == F.col("fi")))).select("h", "__d", "__t", "idx")
-    drop = later.join(kept, "h").groupBy("__d", "__t").agg(F.collect_list(F.struct("idx", "kept")).alias("r"))
+    stay = cut(first.join(kept.groupBy("h").agg(F.first("kept").alias("kept")), "h"))  # a row given twice fetches twice
+    later = sliced_join(rows, stay, ["h"], "n", ["__d", "__t", "idx"]).where(~((F.col("__d") == F.col("fd")) & (F.col("__t") == F.col("ft")) & (F.col("idx") == F.col("fi"))))
+    drop = later.groupBy("__d", "__t").agg(F.collect_list(F.struct("idx", "kept")).alias("r"))
 
     def stays(ls: Column, cs: Column) -> Column:
         gone = lambda c: F.exists("r", lambda r: (r["idx"] == c["idx"]) & (r["kept"] == _joined(ls, c)))

@@ -444,3 +444,22 @@ def test_classifier_edges(spark, odd):
         q, prior = quality.quality_scores(odd, labels)
         assert q.count() == odd.count() and q.where("score is null or isnan(score)").count() == 0 and 0 < prior < 1
     assert toxicity.with_scores(odd.limit(0), toxicity.fit(odd.limit(0), some)).count() == 0 and quality.quality_scores(odd.limit(0), some)[0].count() == 0
+
+
+def test_sliced_join_is_the_join(spark):
+    from colonnade.llm.slices import sliced_join
+
+    keys = [1] * 3000 + [2] * 40 + list(range(10, 400)) + [None, None]
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long")
+    per_key = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("x", F.col("k") * 2)
+    got = sliced_join(rows, per_key, ["k"], "n", ["i"])
+    assert got.columns == ["k", "i", "n", "x"]
+    assert sorted(map(tuple, got.collect())) == sorted((k, i, keys.count(k), 2 * k) for i, k in enumerate(keys) if k is not None)
+    assert sliced_join(rows.limit(0), per_key.limit(0), ["k"], "n", ["i"]).count() == 0
+
+
+def test_line_dedup_of_a_frequent_chunk(spark):
+    docs = spark.createDataFrame([(i, f"only {i}\nhere {i}\nalpha\nbeta\ngamma\ndelta\nepsilon\nzeta\neta\ntheta") for i in range(1500)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in linechunks.dedup_lines(docs).collect()}
+    assert len(got) == 1500 and got[0]["n_removed"] == 0
+    assert all(got[i]["n_removed"] > 0 and got[i]["text"].startswith(f"only {i}\n") for i in range(1, 1500))
