@@ -10,7 +10,8 @@ pages (0 without any); templates of purity ``reject`` or more are blocked. Rules
 
 Segments after ``depth`` count as one. A level is one partial aggregate on (host, template, segment) and one
 join back on that key, so a host with a third of all pages is counted map-side and spread by its segments;
-the rows (without html) are checkpointed after it.
+branches meet their node in slices where it has very many (:mod:`slices`). Branches, nodes and the rows
+(without html) are checkpointed at each level.
 
 Defined cases: a null url or one without ``://`` has empty host and path (one template of its own); a null
 label is unlabelled; repeated rows count as often as they occur; an empty table gives an empty result; other
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colonnade.functions.shared import cut
+from colonnade.llm.slices import sliced_join
 
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 ADDED = ("host", "path", "rule", "template", "purity", "verdict")
@@ -62,11 +64,11 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
     for level in range(depth):
         seg = F.get("__s", F.lit(level))
         at = rows.withColumn("__seg", seg)
-        branch = at.where("__seg is not null").groupBy("host", "template", "__seg").agg(F.count(F.lit(1)).alias("n"), F.count("__bad").alias("l"), F.coalesce(F.sum("__bad"), F.lit(0)).alias("b"))
-        node = branch.groupBy("host", "template").agg(*(c.alias(a) for c, a in zip(count, ("nn", "nl", "nb"), strict=True)), F.count(F.lit(1)).alias("k"))
+        branch = cut(at.where("__seg is not null").groupBy("host", "template", "__seg").agg(F.count(F.lit(1)).alias("n"), F.count("__bad").alias("l"), F.coalesce(F.sum("__bad"), F.lit(0)).alias("b")))
+        node = cut(branch.groupBy("host", "template").agg(*(c.alias(a) for c, a in zip(count, ("nn", "nl", "nb"), strict=True)), F.count(F.lit(1)).alias("k")))
         p = (F.col("nb") + 1.0) / (F.col("nl") + 2.0)
         apart = F.abs((F.col("b") - F.col("l") * p)) > F.lit(z) * F.sqrt(F.col("l") * p * (F.lit(1.0) - p))
-        named = branch.join(node, ["host", "template"]).where((F.col("k") <= F.lit(variable) * F.col("nn")) & (F.col("l") > 0) & apart).select("host", "template", "__seg", F.lit(True).alias("__lit"))
+        named = sliced_join(branch, node, ["host", "template"], "k", ["__seg"]).where((F.col("k") <= F.lit(variable) * F.col("nn")) & (F.col("l") > 0) & apart).select("host", "template", "__seg", F.lit(True).alias("__lit"))
         # a level reads its rows three times: without a cut the plan would grow threefold with each
         rows = cut(at.join(named, ["host", "template", "__seg"], "left").withColumn("template", F.when(F.col("__seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("__lit"), F.col("__seg")).otherwise(F.lit("*"))))).drop("__lit", "__seg"))
     groups = rows.groupBy("host", "template").agg(F.count("__bad").alias("l"), F.coalesce(F.sum("__bad"), F.lit(0)).alias("b"))
