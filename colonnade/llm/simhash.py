@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 5) -> DataFra
     return found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = 4, words: int = 5, n: int = 8) -> DataFrame:
+def one_of_each(docs: DataFrame, radius: int = 4, words: int = 5, n: int = 12) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id (null last), then of the least hash of its text.
 
     Of two texts of similarity 0.8 to 0.9 one fingerprint seldom falls within 4 bits; each further one of the n gives another chance.

@@ -40,7 +40,7 @@ def test_stages_by_definition(spark, tmp_path):
     was, now = seen["line_dedup"]
     assert all(len(r["text"]) == r["n_chars"] for r in now.values()) and len(now) >= 0.9 * len(was)
     was, now = seen["near_duplicates"]
-    fps = {i: simhash.several(t, 5, 8) for i, t in was.items()}
+    fps = {i: simhash.several(t, 5, 12) for i, t in was.items()}
     root = {i: i for i in fps}
 
     def find(i):
