@@ -9,9 +9,12 @@ Shards sort the suffixes of their segments by induced sorting and read the repea
 common prefixes (:mod:`inducedsort`).
 
 Equal texts are reduced to one before anything else (all of a text that occurs twice goes, if it is long enough), and
-equal segments before a shard is sorted. The distinct texts are written once, bucketed by digest, so that
-the joins with anchors and results move only those. Shards work through anchor groups in parts of about
-``part`` bytes.
+equal segments before they are dealt, with a partial aggregate. The distinct texts are written once, bucketed
+by digest, so that the joins with anchors and results move only those. Shards work through anchor groups in
+parts of about ``part`` bytes. The segments of an anchor of more than ``crowd`` occurrences (or a thousandth of
+all) would crowd one shard. They are cut into runs of ``step`` windows by the anchor's place in the window, and
+dealt by the bytes that all windows of the run share: length + 1 - step of them. Equal windows share those too.
+What each segment loses goes back to the texts in slices (:mod:`slices`).
 
 Defined cases: a null text is empty; empty texts and those under ``length`` bytes lose nothing; null doc_ids
 keep their rows; repeated rows are equal texts, which are each other's copies; an empty table gives an empty
@@ -26,11 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colonnade.functions.shared import cut
 from colonnade.llm.inducedsort import repeated_places
+from colonnade.llm.slices import HEAVY, sliced_join
 
 MULTIPLIER = 0x9E3779B97F4A7C15
 PIECE = 1 << 20
@@ -59,8 +64,8 @@ def run_hashes(data: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
-def anchors(data: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first window, last window) of each stretch of windows that share an anchor; the leftmost of equal hashes counts."""
+def anchors(data: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first window, last window, place) of each anchor and the stretch of windows that share it; the leftmost of equal hashes counts."""
     out: list[tuple[np.ndarray, ...]] = []
     windows = len(data) - length + 1
     for a in range(0, max(0, windows), PIECE):
@@ -76,9 +81,9 @@ def anchors(data: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.
         spot = (best & low).astype(np.int64)
         starts = np.concatenate([[0], np.flatnonzero(spot[1:] != spot[:-1]) + 1])
         ends = np.concatenate([starts[1:] - 1, [n - 1]])
-        out.append((h[spot[starts]], starts + a, ends + a))
+        out.append((h[spot[starts]], starts + a, ends + a, spot[starts] + a))
     if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -93,21 +98,13 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def shard_spans(rows: list[tuple[str, list[int], bytes]], length: int) -> list[tuple[str, list[int], list[int]]]:
-    """rows: (text key, places where the segment starts, segment). Removed spans per row: (key, from, to)."""
-    by_part: dict[bytes, list[int]] = {}
-    for i, (_, _, part) in enumerate(rows):
-        by_part.setdefault(part, []).append(i)
+def shard_runs(parts: list[bytes], counts: list[int], length: int) -> list[tuple[int, list[int], list[int]]]:
+    """Distinct segments and how often each occurs. (segment, from, to) of what repeats, for those of which something does."""
     out = []
-    for (part, members), flags in zip(by_part.items(), repeated_places(list(by_part), length), strict=True):
-        if sum(len(rows[i][1]) for i in members) > 1:
-            runs = [(0, len(part))]
-        else:
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
-            runs = [(int(a), int(b) - 1 + length) for a, b in zip(edge[::2], edge[1::2], strict=True)]
-        for i in members if runs else ():
-            spans = merged([(s + a, s + b) for s in rows[i][1] for a, b in runs])
-            out.append((rows[i][0], [a for a, _ in spans], [b for _, b in spans]))
+    for i, (part, n, flags) in enumerate(zip(parts, counts, repeated_places(parts, length), strict=True)):
+        edge = [0, len(part)] if n > 1 else np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]]))).tolist()
+        if edge:
+            out.append((i, edge[::2], edge[1::2] if n > 1 else [b - 1 + length for b in edge[1::2]]))
     return out
 
 
@@ -124,25 +121,40 @@ def _anchor_lists(texts: DataFrame, length: int, anchor: int) -> DataFrame:
     return texts.select("key", "text").mapInArrow(run, "key string, h array<long>, n array<long>")
 
 
-def _segments(texts: DataFrame, length: int, anchor: int) -> DataFrame:
-    """texts: key, text, wanted (anchors that are repeated). Equal segments of a text are one row with all its places."""
+def cuts(raw: bytes, x: int, first: int, last: int, spot: int, length: int, step: int) -> Iterator[tuple[int, int, int]]:
+    """(group, first window, last window): a crowded anchor's stretch by runs of windows, each dealt by the bytes that its windows share."""
+    for k in range((spot - last) // step, (spot - first) // step + 1):
+        near = spot - k * step  # the run's last window, if the stretch goes so far
+        core = raw[near : near - step + 1 + length]
+        yield np.uint64(xxhash.xxh64_intdigest(core, x)).astype(np.int64).item(), max(first, near - step + 1), min(last, near)
+
+
+def _segments(texts: DataFrame, length: int, anchor: int, step: int, whole: bool) -> DataFrame:
+    """texts: key, text, wanted (anchors that are repeated), crowded (those dealt in runs). Equal segments of a text are one row.
+
+    whole: rows (h, part, n): group, bytes, number of places; else rows (id, key, places): digest of the bytes, text, places.
+    """
+    names = ["h", "part", "n"] if whole else ["id", "key", "places"]
+    kinds = (pa.int64(), pa.binary(), pa.int64()) if whole else (pa.binary(), pa.string(), pa.list_(pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
             size = 0
-            for key, text, wanted in zip(b.column(0), b.column(1), b.column(2), strict=True):
+            for key, text, wanted, crowded in zip(*b.columns, strict=True):
                 raw = text.as_py().encode()
-                h, first, last = anchors(np.frombuffer(raw, np.uint8), length, anchor)
+                h, first, last, spot = anchors(np.frombuffer(raw, np.uint8), length, anchor)
                 use = np.isin(h, wanted.values.to_numpy().view(np.uint64))
+                many = set(crowded.as_py())
                 own: dict[bytes, list[int]] = {}
                 name: dict[bytes, int] = {}
-                for x, a, z in zip(h[use].view(np.int64).tolist(), first[use].tolist(), last[use].tolist(), strict=True):
-                    part = raw[a : z + length]
-                    own.setdefault(part, []).append(a)
-                    name[part] = x
+                for x, a, z, p in zip(h[use].view(np.int64).tolist(), first[use].tolist(), last[use].tolist(), spot[use].tolist(), strict=True):
+                    for group, c, d in cuts(raw, x & 0xFFFFFFFFFFFFFFFF, a, z, p, length, step) if x in many else ((x, a, z),):
+                        part = raw[c : d + length]
+                        own.setdefault(part, []).append(c)
+                        name[part] = group
                 for part, places in own.items():
-                    out.append((name[part], key.as_py(), places, part))
+                    out.append((name[part], part, len(places)) if whole else (hashlib.sha256(part).digest(), key.as_py(), places))
                     size += len(part)
                 if size > 1 << 22:
                     yield batch(out)
@@ -150,39 +162,51 @@ def _segments(texts: DataFrame, length: int, anchor: int) -> DataFrame:
             yield batch(out)
 
     def batch(out: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True)) or [()] * 4
-        kinds = (pa.int64(), pa.string(), pa.list_(pa.int32()), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["h", "key", "places", "part"])
+        cols = list(zip(*out, strict=True)) or [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    return texts.mapInArrow(run, "h long, key string, places array<int>, part binary")
+    return texts.mapInArrow(run, "h long, part binary, n long" if whole else "id binary, key string, places array<int>")
 
 
 def _shards(segments: DataFrame, length: int, part: int) -> DataFrame:
-    """Rows come sorted by anchor; whole anchor groups are taken together until they have about ``part`` bytes."""
+    """Distinct segments (h, part, n, rows) sorted by h; whole groups are taken together until they have about ``part`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[str, list[int], bytes]] = []
+        held: list[tuple[bytes, int, int]] = []
         size, last = 0, None
         for b in batches:
-            for h, key, places, seg in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for h, seg, n, rows in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if size >= part and h != last:
-                    yield from batch(shard_spans(held, length))
+                    yield from batch(held)
                     held, size = [], 0
-                held.append((key, places, seg))
+                held.append((seg, n, rows))
                 size, last = size + len(seg), h
         if held:
-            yield from batch(shard_spans(held, length))
+            yield from batch(held)
+
+    def batch(held: list[tuple[bytes, int, int]]) -> Iterator[pa.RecordBatch]:
+        found = shard_runs([x[0] for x in held], [x[1] for x in held], length)
+        for at in range(0, len(found), 20_000):
+            cols = list(zip(*((hashlib.sha256(held[i][0]).digest(), held[i][2], a, b) for i, a, b in found[at : at + 20_000]), strict=True))
+            kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "rows", "ra", "rb"])
 
-    def batch(out: list[tuple]) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(out), 20_000):
-            cols = list(zip(*out[at : at + 20_000], strict=True))
-            kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "a", "b"])
+    return segments.mapInArrow(run, "id binary, rows long, ra array<long>, rb array<long>")
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """(key, a, b): what a text loses by one of its segments, over all places of that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [merged([(s + x, s + z) for s in places for x, z in zip(ra, rb, strict=True)]) for places, ra, rb in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)]
+            ends = [pa.array([[span[i] for span in spans] for spans in found], pa.list_(pa.int64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *ends], names=["key", "a", "b"])
 
-    return segments.mapInArrow(run, "key string, a array<long>, b array<long>")
+    return rows.select("key", "places", "ra", "rb").mapInArrow(run, "key string, a array<long>, b array<long>")
 
 
-def removed_spans(docs: DataFrame, table: str, length: int = 400, anchor: int = 250, part: int = 2 << 20) -> tuple[DataFrame, DataFrame]:
+def removed_spans(docs: DataFrame, table: str, length: int = 400, anchor: int = 250, part: int = 2 << 20, crowd: int = 20_000, step: int = 15) -> tuple[DataFrame, DataFrame]:
     """(distinct texts: key, text, copies; spans: key, a, b arrays of removed bytes by segment). docs: a column text.
 
     The distinct texts are saved as ``table`` in the warehouse; both results read it, so it is the caller's to drop.
@@ -196,10 +220,14 @@ def removed_spans(docs: DataFrame, table: str, length: int = 400, anchor: int =
     long = texts.where(F.octet_length("text") >= length)
     lists = cut(_anchor_lists(long, length, anchor))
     each = lists.select("key", F.explode(F.arrays_zip("h", "n")).alias("e")).select("key", "e.h", "e.n")
-    repeated = cut(each.groupBy("h").agg(F.sum("n").alias("all")).where("all > 1").select("h"))
-    wanted = each.join(repeated, "h").groupBy("key").agg(F.collect_set("h").alias("wanted"))
-    segments = _segments(long.join(wanted, "key").select("key", "text", "wanted"), length, anchor)
-    return texts, _shards(segments.repartition(n, "h").sortWithinPartitions("h"), length, part)
+    repeated = cut(each.groupBy("h").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("texts")).where("all > 1"))
+    most = min(crowd, max(100, (repeated.agg(F.sum("all")).first()[0] or 0) // HEAVY))
+    met = sliced_join(each.select("key", "h"), repeated, ["h"], "texts", ["key"])
+    wanted = cut(met.groupBy("key").agg(F.collect_set("h").alias("wanted"), F.collect_set(F.when(F.col("all") > most, F.col("h"))).alias("crowded")))
+    own = long.join(wanted, "key").select("key", "text", "wanted", "crowded")
+    segments = _segments(own, length, anchor, step, True).groupBy("h", "part").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+    runs = cut(_shards(segments.repartition(n, "h").sortWithinPartitions("h"), length, part))
+    return texts, _placed(sliced_join(_segments(own, length, anchor, step, False), runs, ["id"], "rows", ["key"]))
 
 
 def deduplicate(docs: DataFrame, table: str, length: int = 400, **options) -> DataFrame:

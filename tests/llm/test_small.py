@@ -250,7 +250,26 @@ def test_repeated_bytes_against_definition(spark, seed):
     got = suffixes.deduplicate(documents(spark, texts), f"t6_{seed}", 40, anchor=25, part=500)
     assert {r["doc_id"]: tuple(r)[1:5] for r in got.collect()} == dict(enumerate(removed_by_definition(texts, 40)))
     assert got.where("sha2(kept, 256) <> kept_sha256").count() == 0
-    spark.sql(f"DROP TABLE t6_{seed}")
+    crowded = suffixes.deduplicate(documents(spark, texts), f"t6_crowded_{seed}", 40, anchor=25, part=500, crowd=1, step=4)
+    assert {r["doc_id"]: tuple(r)[1:5] for r in crowded.collect()} == dict(enumerate(removed_by_definition(texts, 40)))
+    for t in (f"t6_{seed}", f"t6_crowded_{seed}"):
+        spark.sql(f"DROP TABLE {t}")
+
+
+def test_runs_of_a_crowded_anchor_share_their_bytes():
+    rng = random.Random(3)
+    base = bytes(rng.choice(b"abcd") for _ in range(300))
+    raws = [base, b"x" * 7 + base[20:] + b"y" * 50, base[:200]]
+    groups: dict[bytes, set[int]] = {}
+    for raw in raws:
+        for h, first, last, spot in zip(*(v.tolist() for v in suffixes.anchors(np.frombuffer(raw, np.uint8), 40, 25)), strict=True):
+            seen = []
+            for group, a, z in suffixes.cuts(raw, h, first, last, spot, 40, 4):
+                seen += range(a, z + 1)
+                for w in range(a, z + 1):
+                    groups.setdefault(raw[w : w + 40], set()).add(group)
+            assert sorted(seen) == list(range(first, last + 1))
+    assert all(len(g) == 1 for g in groups.values())
 
 
 def test_repeated_bytes_edges(spark, odd):
