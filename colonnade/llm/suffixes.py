@@ -206,7 +206,7 @@ def _placed(rows: DataFrame) -> DataFrame:
     return rows.select("key", "places", "ra", "rb").mapInArrow(run, "key string, a array<long>, b array<long>")
 
 
-def removed_spans(docs: DataFrame, table: str, length: int = 400, anchor: int = 250, part: int = 2 << 20, crowd: int = 20_000, step: int = 15) -> tuple[DataFrame, DataFrame]:
+def removed_spans(docs: DataFrame, table: str, length: int = 400, anchor: int = 250, part: int = 1 << 20, crowd: int = 20_000, step: int = 15) -> tuple[DataFrame, DataFrame]:
     """(distinct texts: key, text, copies; spans: key, a, b arrays of removed bytes by segment). docs: a column text.
 
     The distinct texts are saved as ``table`` in the warehouse; both results read it, so it is the caller's to drop.
