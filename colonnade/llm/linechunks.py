@@ -10,6 +10,9 @@ Counting and choosing move hashes only. A text moves twice: once to fetch the ch
 remove the others. No key gathers rows without a partial aggregate before the shuffle; a frequent chunk's
 rows meet the one that stays in slices (:mod:`slices`).
 
+Chunks miss a repeated passage that holds no whole chunk of two lines. :func:`dedup_passages` misses none of two
+or more lines: it takes each pair of neighbouring lines for a chunk, so that chunks overlap.
+
 Defined cases: a null text stays null, with n_lines and n_removed 0; an empty text has one empty line; a
 text that loses all lines becomes the empty string; a null doc_id sorts last; rows with equal doc_id and
 equal text share one decision (they are one document given twice); an empty table gives an empty result;
@@ -94,6 +97,40 @@ def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 3) -> DataFrame
     return cleaned.select(*(F.coalesce("__s.text", "text").alias("text") if c == "text" else F.col(c) for c in own), n_lines.cast("long").alias("n_lines"), F.coalesce(F.col("__s.n") - F.col("__s.kept"), F.lit(0)).cast("long").alias("n_removed"))
 
 
+def dedup_passages(docs: DataFrame) -> DataFrame:
+    """docs as :func:`dedup_lines` gives them, without any line of a run of two or more lines that stands earlier.
+
+    Each pair of neighbouring lines that occurs more than once stays where it is first (smallest doc_id, then
+    earliest); the two lines of every other one go after their bytes were compared. All that dedup_lines removes
+    goes too, a repeated text of two or more lines goes whole, and each line that goes stays somewhere else. Of
+    a run that repeats within itself (a, a, a) its first line stays.
+    """
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    keyed = docs.select(*own, F.coalesce(F.col("doc_id"), F.lit(0).cast("long")).alias("__d"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("__t"))
+    pair = lambda ls, i: F.concat(F.get(ls, i), F.lit("\n"), F.get(ls, i + 1))
+    lines = F.split("text", "\n", -1)
+    hashed = let(lines, lambda ls: F.transform(F.sequence(F.lit(0), F.size(ls) - 2), lambda i: F.struct(i.alias("idx"), F.xxhash64(pair(ls, i)).alias("h"))))
+
+    rows = keyed.where(F.col("text").contains("\n")).select("__d", "__t", F.col("doc_id").isNull().alias("__null"), F.explode(hashed).alias("c")).select("__d", "__t", "__null", "c.idx", "c.h")
+    first = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("__null", "__d", "__t", "idx")).alias("f")).where("n >= 2").select("h", "n", F.col("f.__d").alias("fd"), F.col("f.__t").alias("ft"), F.col("f.idx").alias("fi")))
+    wanted = first.groupBy(F.col("fd").alias("__d"), F.col("ft").alias("__t")).agg(F.collect_list(F.struct(F.col("fi").alias("idx"), "h")).alias("w"))
+    fetched = let(lines, lambda ls: F.transform("w", lambda w: F.struct(w["h"].alias("h"), pair(ls, w["idx"]).alias("kept"))))
+    kept = keyed.join(wanted, ["__d", "__t"]).select(F.explode(fetched).alias("k")).select("k.h", "k.kept")
+    stay = cut(first.join(kept.groupBy("h").agg(F.first("kept").alias("kept")), "h"))  # a row given twice fetches twice
+    later = sliced_join(rows, stay, ["h"], "n", ["__d", "__t", "idx"]).where(~((F.col("__d") == F.col("fd")) & (F.col("__t") == F.col("ft")) & (F.col("idx") == F.col("fi"))))
+    drop = later.groupBy("__d", "__t").agg(F.collect_list(F.struct("idx", "kept")).alias("r"))
+
+    def stays(ls: Column) -> Column:
+        same = F.filter("r", lambda r: r["kept"] == pair(ls, r["idx"]))
+        gone = F.flatten(F.transform(same, lambda r: F.array(r["idx"], r["idx"] + 1)))
+        left = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone)
+        return F.struct(F.array_join(F.transform(left, lambda i: F.get(ls, i)), "\n").alias("text"), F.size(ls).alias("n"), F.size(left).alias("kept"))
+
+    cleaned = keyed.join(drop, ["__d", "__t"], "left").withColumn("__s", F.when(F.col("r").isNotNull(), let(lines, stays)))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.coalesce(F.col("__s.n"), F.regexp_count("text", F.lit("\n")) + 1))
+    return cleaned.select(*(F.coalesce("__s.text", "text").alias("text") if c == "text" else F.col(c) for c in own), n_lines.cast("long").alias("n_lines"), F.coalesce(F.col("__s.n") - F.col("__s.kept"), F.lit(0)).cast("long").alias("n_removed"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 

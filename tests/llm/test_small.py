@@ -482,3 +482,40 @@ def test_line_dedup_of_a_frequent_chunk(spark):
     got = {r["doc_id"]: r for r in linechunks.dedup_lines(docs).collect()}
     assert len(got) == 1500 and got[0]["n_removed"] == 0
     assert all(got[i]["n_removed"] > 0 and got[i]["text"].startswith(f"only {i}\n") for i in range(1, 1500))
+
+
+def passages_by_definition(texts):
+    """Text by text: the lines left when all that stand in a pair of neighbouring lines seen earlier are gone."""
+    seen, out = set(), []
+    for t in texts:
+        lines, gone = t.split("\n"), set()
+        for i in range(len(lines) - 1):
+            if (lines[i], lines[i + 1]) in seen:
+                gone |= {i, i + 1}
+            seen.add((lines[i], lines[i + 1]))
+        left = [x for i, x in enumerate(lines) if i not in gone]
+        out.append(("\n".join(left), len(lines), len(gone)))
+    return out
+
+
+def test_every_repeated_passage_goes(spark, odd):
+    rng = random.Random(5)
+    passages = [[f"passage {p} line {i} " + "word " * 30 for i in range(2 + p % 7)] for p in range(40)]
+    texts = ["\n".join(p) for p in passages]
+    texts += ["\n".join([f"own {k} {rng.random()}", *p, f"end {k}"]) for k, p in enumerate(passages)]
+    texts += ["a\na\na\na", "x\ny\nx\ny\nz", "", "solo", "solo", "\n\n\n", *texts[40:60]]
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in linechunks.dedup_passages(documents(spark, texts)).collect()}
+    assert got == dict(enumerate(passages_by_definition(texts)))
+    assert all(got[40 + k][2] == len(p) for k, p in enumerate(passages)) and all(got[i][0] == "" for i in range(86, 106))
+    out = linechunks.dedup_passages(odd)
+    assert out.columns == [*odd.columns, "n_lines", "n_removed"] and out.count() == odd.count() and out.where("text is null and n_lines = 0").count() == 2
+    assert out.where("doc_id = 3 and n_removed = 0").count() == 2 and linechunks.dedup_passages(odd.limit(0)).count() == 0
+
+
+def test_passages_of_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    want = dict(zip([i for i, _ in rows], passages_by_definition([t for _, t in rows]), strict=True))
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in linechunks.dedup_passages(docs).collect()}
+    assert got == want
+    assert all(r["n_removed"] <= got[r["doc_id"]][2] for r in linechunks.dedup_lines(docs).collect())
