@@ -82,3 +82,13 @@ def test_stages_take_odd_rows(spark, tmp_path):
             path = str(tmp_path / f"{name}{n}")
             out.write.parquet(path)
             part = spark.read.parquet(path)
+
+
+def test_no_exact_copy_is_left_as_a_fragment(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    first, copies = {}, set()
+    for r in docs.orderBy("doc_id").collect():
+        if r["text"] is not None and "\n" in r["text"] and first.setdefault(r["text"], r["doc_id"]) != r["doc_id"]:
+            copies.add(r["doc_id"])
+    left = {r["doc_id"] for r in corpus_pipeline.without_repeated_lines(spark, docs, DIR).collect()}
+    assert copies and not copies & left
