@@ -8,6 +8,7 @@ import pytest
 import corpus_pipeline
 from colonnade import llm
 from colonnade.llm import contamination, simhash, toxicity
+from tests.llm.test_small import kept_by_definition
 from tests.test_catalog import plain
 
 DIR = "/root/testdata/sf0.01"
@@ -92,3 +93,9 @@ def test_no_exact_copy_is_left_as_a_fragment(spark):
             copies.add(r["doc_id"])
     left = {r["doc_id"] for r in corpus_pipeline.without_repeated_lines(spark, docs, DIR).collect()}
     assert copies and not copies & left
+
+
+def test_near_duplicates_are_pairs_of_0_8(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    assert {r["doc_id"] for r in corpus_pipeline.without_near_duplicates(spark, docs, DIR).collect()} == kept_by_definition(rows)

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from colonnade.llm import contamination, inducedsort, linechunks, mixing, quality, simhash, suffixes, tokenrollup, topk, toxicity, urltree
+from colonnade.llm import contamination, inducedsort, linechunks, mixing, quality, simhash, similar, suffixes, tokenrollup, topk, toxicity, urltree
 from colonnade.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, size string, h string, key string"
@@ -519,3 +519,52 @@ def test_passages_of_given_documents(spark):
     got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in linechunks.dedup_passages(docs).collect()}
     assert got == want
     assert all(r["n_removed"] <= got[r["doc_id"]][2] for r in linechunks.dedup_lines(docs).collect())
+
+
+def jaccard(a, b):
+    x, y = (set(simhash.shingle_hashes(t, 5).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def kept_by_definition(rows):
+    """Smallest ids of the groups linked by exact similarity of 0.8 or more; rows (id, text), ids ascending."""
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    for (i, a), (j, b) in itertools.combinations(sets.items(), 2):
+        if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
+            x, y = sorted((find(i), find(j)))
+            root[y] = x
+    return {i for i in root if find(i) == i}
+
+
+def test_similar_texts_are_those_of_the_definition(spark, odd):
+    rng = random.Random(11)
+    texts = []
+    for n in [*range(1, 12), *[rng.randint(5, 900) for _ in range(90)]]:
+        words = [f"w{rng.randint(0, 4000)}" for _ in range(n)]
+        texts.append(" ".join(words))
+        for _ in range(2):
+            near = list(words)
+            for i in rng.sample(range(n), rng.randint(0, max(1, n // 22))):
+                near[i] = f"edit{rng.random()}"
+            texts.append(" ".join(near) + " and one boilerplate line of seven words here" * (rng.random() < 0.2))
+    js = [jaccard(a, b) for k in range(0, len(texts), 3) for a, b in itertools.combinations(texts[k : k + 3], 2)]
+    assert sum(0.8 <= j < 0.9 for j in js) > 20 and sum(0.6 <= j < 0.8 for j in js) > 20
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    assert {r["doc_id"] for r in similar.one_of_similar(documents(spark, texts)).collect()} == kept_by_definition(rows)
+    kept = similar.one_of_similar(odd)
+    assert {r["doc_id"] for r in kept.collect()} >= {0, 2, 3, 5} and kept.where("doc_id = 3").count() == 1 and kept.columns == odd.columns
+    assert similar.one_of_similar(odd.limit(0)).count() == 0
+
+
+def test_frequent_shingles_come_last_and_nothing_is_lost():
+    own = np.arange(1, 101, dtype=np.uint64)
+    assert similar.prefix(own, own[:50], np.arange(50)[::-1] + 3).tolist() == list(range(51, 72))
+    assert similar.prefix(own[:1], own[:0], np.zeros(0, np.int64)).tolist() == [1] and not len(similar.prefix(own[:0], own, own))
