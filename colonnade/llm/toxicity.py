@@ -35,8 +35,9 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 SEPARATORS = " .-_*"
 EDGES = ".,;:!?\"'()[]{}<>«»…%#&*$/\\|-_=~`^"
 LETTER = r"[^\W\d_]"
-HIDDEN = re.compile(rf"{LETTER}[0-9@$!|+(€]+{LETTER}|^[0-9@$!|(€]{{1,2}}{LETTER}{{2,}}|{LETTER}{{2,}}[0-9@$|]$|({LETTER})\1\1|^(?:{LETTER}[.\-_*]){{2,}}{LETTER}\W*$")
-SPACED = re.compile(rf"(?<!\S)(?:[^\s_][ .\-_*]){{2,}}[^\s_](?!\S)")
+#: A letter beside a look-alike (a closing ! is none), a doubled letter, or letters held apart by separators.
+HIDDEN = re.compile(rf"[0-9@$!|+(€]{LETTER}|{LETTER}[0-9@$|+€]|{LETTER}[!(]+[0-9@$|+€]|({LETTER})\1|{LETTER}[.\-_*]+{LETTER}")
+SPACED = re.compile(r"(?<!\S)(?:[^\s_.\-*][ .\-_*]+){2,}[^\s_.\-*](?!\S)")
 WORD = re.compile(rf"{LETTER}+")
 OTHER, SIZE = 63, 64
 CHANNEL = {"same": 0.0, "double": math.log(0.4), "look": math.log(0.5), "plain": math.log(0.03), "join": math.log(0.7), "gap": math.log(0.1)}
@@ -125,6 +126,14 @@ def decode(observed: str, model: CharModel) -> str:
     best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
     for k, (c, n) in enumerate(runs):
         new: dict[tuple[int, int], tuple[float, tuple]] = {}
+        if n == 1 and c.isalpha():  # one way, at no cost
+            z = sym(c)
+            for (a, b), (score, path) in best.items():
+                now, y = (score, (a, b)) if z == 0 and b == 0 else (score + log[(a * SIZE + b) * SIZE + z], (b, z))
+                if y not in new or now > new[y][0]:
+                    new[y] = (now, (path, c))
+            best = new
+            continue
         for s, cost in _options(c, n, 0 < k < len(runs) - 1):
             syms = [sym(x) for x in s]
             for (a, b), (score, path) in best.items():
@@ -145,10 +154,10 @@ def decode(observed: str, model: CharModel) -> str:
 
 
 class Restorer:
-    """Distinct restored words of a text; keeps what it has decoded, up to ``keep`` stretches."""
+    """Distinct restored words of a text; keeps what it has decoded, up to ``keep`` tokens and stretches."""
 
     def __init__(self, model: CharModel, keep: int = 200_000) -> None:
-        self.model, self.keep, self.known = model, keep, {}
+        self.model, self.keep, self.known, self.tokens = model, keep, {}, {}
 
     def decoded(self, s: str) -> list[str]:
         if s not in self.known:
@@ -157,30 +166,30 @@ class Restorer:
             self.known[s] = WORD.findall(decode(s, self.model))
         return self.known[s]
 
+    def restored(self, t: str) -> list[str]:
+        """Words of one token: as it is, unless letters may be hidden in it. A word of letters alone also stays as it is."""
+        if len(self.tokens) >= self.keep:
+            self.tokens.clear()
+        s = t.strip(EDGES)
+        own = [s] if s.isalpha() else []
+        found = own + WORD.findall(decode(t, self.model)) if HIDDEN.search(t) else own or WORD.findall(s)
+        return self.tokens.setdefault(t, found)
+
     def words(self, text: str | None) -> set[str]:
         low = (text or "").lower()
         if not low:
             return set()
-        cp = code_points(low)
-        same = cp[1:] == cp[:-1]
-        tripled = bool((same[1:] & same[:-1] & (symbols(low)[2:] != OTHER) & (cp[2:] > 32)).any())
         out: set[str] = set()
+        tokens = self.tokens
         for t in set(low.split()):
-            s = t.strip(EDGES)
-            if s.isalpha() and not tripled:
-                out.add(s)
-                if len(s) + 1 < len(t) or t[0] == s[0]:
-                    continue
-            if HIDDEN.search(t):
-                out.update(self.decoded(t))
-            elif s.isalpha():
-                out.add(s)
-            else:
-                out.update(WORD.findall(s))
+            out.update(tokens[t] if t in tokens else self.restored(t))
+        cp = code_points(low)
         if len(cp) > 4:
             gap = np.isin(cp, [ord(c) for c in SEPARATORS])
-            one = ~gap & (cp > 32)
-            if (one[:-4] & gap[1:-3] & one[2:-2] & gap[3:-1] & one[4:]).any():
+            one = np.flatnonzero(~gap)
+            apart = np.diff(one, prepend=-2, append=len(cp) + 1) > 1
+            lone = (apart[:-1] | (cp[np.maximum(one - 1, 0)] <= 32)) & (apart[1:] | (cp[np.minimum(one + 1, len(cp) - 1)] <= 32))
+            if (lone[:-2] & lone[1:-1] & lone[2:]).any():
                 for m in SPACED.finditer(low):
                     if WORD.search(m.group()):
                         for a in range(0, len(m.group()), 4000):  # as long as the text: decoded by pieces, at letters

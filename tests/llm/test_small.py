@@ -568,3 +568,14 @@ def test_frequent_shingles_come_last_and_nothing_is_lost():
     own = np.arange(1, 101, dtype=np.uint64)
     assert similar.prefix(own, own[:50], np.arange(50)[::-1] + 3).tolist() == list(range(51, 72))
     assert similar.prefix(own[:1], own[:0], np.zeros(0, np.int64)).tolist() == [1] and not len(similar.prefix(own[:0], own, own))
+
+
+def test_ordinary_disguises_open_a_lattice(spark, sf):
+    restorer = toxicity.Restorer(toxicity.char_model(spark.read.parquet(f"{sf}/documents.parquet")))
+    for seen, meant in {"1d107": "idiot", "idi07": "idiot", "idi0+": "idiot", "1053r": "loser", "id.iot": "idiot", "id-iot": "idiot", "i  d  i  o  t": "idiot", "i. d. i. o. t": "idiot", "i - d - i - o - t": "idiot", "iiddiioott": "idiot"}.items():
+        assert meant in restorer.words(f"the {seen} there"), seen
+    for seen in ("a55", "a$$", "a$$!"):  # opened; the language model decides how many letters a run stands for
+        assert toxicity.HIDDEN.search(seen) and any(w.startswith("as") for w in restorer.words(f"the {seen} there")), seen
+    assert "book" in restorer.words("a book.") and restorer.words("1 2 3 ... - - - ***") == set()
+    for long in ("." * 50_000, "a " * 50_000, "- " * 50_000, "a.b-" * 20_000 + "!!"):  # no pattern runs away
+        restorer.words(long)
