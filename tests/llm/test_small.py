@@ -579,3 +579,10 @@ def test_ordinary_disguises_open_a_lattice(spark, sf):
     assert "book" in restorer.words("a book.") and restorer.words("1 2 3 ... - - - ***") == set()
     for long in ("." * 50_000, "a " * 50_000, "- " * 50_000, "a.b-" * 20_000 + "!!"):  # no pattern runs away
         restorer.words(long)
+
+
+def test_mixing_draws_all_eligible_where_they_are_too_few(spark):
+    docs = documents(spark, ["w w w w w"] * 40, ["a"] * 20 + ["b"] * 20)
+    got = mixing.mix_sources(docs, importance=F.when(F.col("doc_id") % 20 == 0, 1.0).otherwise(0.0)).collect()
+    short = {r["source"] for r in got if r["target"] % r["source_size"] > 5}
+    assert short and all(r["copies"] == r["target"] // r["source_size"] + (r["doc_id"] % 20 == 0) for r in got if r["source"] in short)
