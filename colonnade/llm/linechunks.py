@@ -16,7 +16,8 @@ or more lines: it takes each pair of neighbouring lines for a chunk, so that chu
 Defined cases: a null text stays null, with n_lines and n_removed 0; an empty text has one empty line; a
 text that loses all lines becomes the empty string; a null doc_id sorts last; rows with equal doc_id and
 equal text share one decision (they are one document given twice); an empty table gives an empty result;
-other columns pass through, those named n_lines or n_removed are replaced.
+other columns pass through under any name that doesn't begin with two underscores; those named n_lines or
+n_removed (or as ``added`` names these two) are replaced.
 """
 
 from __future__ import annotations
@@ -66,38 +67,46 @@ def _joined(lines: Column, chunk: Column) -> Column:
     return F.array_join(F.slice(lines, chunk["first"], chunk["n"]), "\n")
 
 
-def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 3) -> DataFrame:
-    """docs with text without the repeated chunks, n_lines (before) and n_removed."""
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    keyed = docs.select(*own, F.coalesce(F.col("doc_id"), F.lit(0).cast("long")).alias("__d"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("__t"))
+def _deduped(docs: DataFrame, found: Column, fetched: Column, stays: Column, added: tuple[str, str]) -> DataFrame:
+    """docs without the repeated parts of texts.
+
+    Of the text column: found, its parts as structs (idx, h: hash); fetched, of ``__w`` (array of idx, h) the structs (h, kept: bytes);
+    stays, what is left without ``__r`` (array of idx, kept) where the bytes are equal: struct(text, n: lines before, kept: lines).
+    """
+    own = [c for c in docs.columns if c not in added]
+    keyed = docs.select(*(F.col(f"`{c}`") for c in own), F.coalesce(F.col("doc_id"), F.lit(0).cast("long")).alias("__d"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("__t"))
+    slim = keyed.select("__d", "__t", F.col("doc_id").isNull().alias("__null"), "text")
+    rows = slim.where(F.col("text").contains("\n")).select("__d", "__t", "__null", F.explode(found).alias("c")).select("__d", "__t", "__null", "c.idx", "c.h")
+    first = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("__null", "__d", "__t", "idx")).alias("f")).where("n >= 2").select("h", "n", F.col("f.__d").alias("fd"), F.col("f.__t").alias("ft"), F.col("f.idx").alias("fi")))
+    wanted = first.groupBy(F.col("fd").alias("__d"), F.col("ft").alias("__t")).agg(F.collect_list(F.struct(F.col("fi").alias("idx"), "h")).alias("__w"))
+    kept = slim.join(wanted, ["__d", "__t"]).select(F.explode(fetched).alias("k")).select("k.h", "k.kept")
+    stay = cut(first.join(kept.groupBy("h").agg(F.first("kept").alias("kept")), "h"))  # a row given twice fetches twice
+    later = sliced_join(rows, stay, ["h"], "n", ["__d", "__t", "idx"]).where(~((F.col("__d") == F.col("fd")) & (F.col("__t") == F.col("ft")) & (F.col("idx") == F.col("fi"))))
+    drop = later.groupBy("__d", "__t").agg(F.collect_list(F.struct("idx", "kept")).alias("__r"))
+    cleaned = keyed.join(drop, ["__d", "__t"], "left").withColumn("__s", F.when(F.col("__r").isNotNull(), stays))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.coalesce(F.col("__s.n"), F.regexp_count("text", F.lit("\n")) + 1))
+    gone = F.coalesce(F.col("__s.n") - F.col("__s.kept"), F.lit(0))
+    return cleaned.select(*(F.coalesce("__s.text", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in own), n_lines.cast("long").alias(added[0]), gone.cast("long").alias(added[1]))
+
+
+def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 3, added: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """docs with text without the repeated chunks, n_lines (before) and n_removed; added: other names for these two."""
 
     def found(ls: Column, cs: Column) -> Column:
         return F.transform(F.filter(cs, lambda c: c["n"] >= 2), lambda c: F.struct(c["idx"].alias("idx"), F.xxhash64(_joined(ls, c)).alias("h")))
 
-    rows = keyed.where(F.col("text").contains("\n")).select("__d", "__t", F.col("doc_id").isNull().alias("__null"), F.explode(chunks(F.col("text"), window, divisor, found)).alias("c")).select("__d", "__t", "__null", "c.idx", "c.h")
-    first = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("__null", "__d", "__t", "idx")).alias("f")).where("n >= 2").select("h", "n", F.col("f.__d").alias("fd"), F.col("f.__t").alias("ft"), F.col("f.idx").alias("fi")))
-    wanted = first.groupBy(F.col("fd").alias("__d"), F.col("ft").alias("__t")).agg(F.collect_list(F.struct(F.col("fi").alias("idx"), "h")).alias("w"))
-
     def fetched(ls: Column, cs: Column) -> Column:
-        return F.transform(F.col("w"), lambda w: F.struct(w["h"].alias("h"), _joined(ls, F.get(cs, w["idx"])).alias("kept")))
-
-    kept = keyed.join(wanted, ["__d", "__t"]).select(F.explode(chunks(F.col("text"), window, divisor, fetched)).alias("k")).select("k.h", "k.kept")
-    stay = cut(first.join(kept.groupBy("h").agg(F.first("kept").alias("kept")), "h"))  # a row given twice fetches twice
-    later = sliced_join(rows, stay, ["h"], "n", ["__d", "__t", "idx"]).where(~((F.col("__d") == F.col("fd")) & (F.col("__t") == F.col("ft")) & (F.col("idx") == F.col("fi"))))
-    drop = later.groupBy("__d", "__t").agg(F.collect_list(F.struct("idx", "kept")).alias("r"))
+        return F.transform(F.col("__w"), lambda w: F.struct(w["h"].alias("h"), _joined(ls, F.get(cs, w["idx"])).alias("kept")))
 
     def stays(ls: Column, cs: Column) -> Column:
-        gone = lambda c: F.exists("r", lambda r: (r["idx"] == c["idx"]) & (r["kept"] == _joined(ls, c)))
+        gone = lambda c: F.exists("__r", lambda r: (r["idx"] == c["idx"]) & (r["kept"] == _joined(ls, c)))
         parts = F.filter(cs, lambda c: ~F.coalesce(gone(c), F.lit(False)))
         return F.struct(F.array_join(F.transform(parts, lambda c: _joined(ls, c)), "\n").alias("text"), F.size(ls).alias("n"), F.aggregate(parts, F.lit(0), lambda a, c: a + c["n"]).alias("kept"))
 
-    joined = keyed.join(drop, ["__d", "__t"], "left")
-    cleaned = joined.withColumn("__s", F.when(F.col("r").isNotNull(), chunks(F.col("text"), window, divisor, stays)))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.coalesce(F.col("__s.n"), F.regexp_count("text", F.lit("\n")) + 1))
-    return cleaned.select(*(F.coalesce("__s.text", "text").alias("text") if c == "text" else F.col(c) for c in own), n_lines.cast("long").alias("n_lines"), F.coalesce(F.col("__s.n") - F.col("__s.kept"), F.lit(0)).cast("long").alias("n_removed"))
+    return _deduped(docs, *(chunks(F.col("text"), window, divisor, f) for f in (found, fetched, stays)), added)
 
 
-def dedup_passages(docs: DataFrame) -> DataFrame:
+def dedup_passages(docs: DataFrame, added: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """docs as :func:`dedup_lines` gives them, without any line of a run of two or more lines that stands earlier.
 
     Each pair of neighbouring lines that occurs more than once stays where it is first (smallest doc_id, then
@@ -105,30 +114,18 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     goes too, a repeated text of two or more lines goes whole, and each line that goes stays somewhere else. Of
     a run that repeats within itself (a, a, a) its first line stays.
     """
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    keyed = docs.select(*own, F.coalesce(F.col("doc_id"), F.lit(0).cast("long")).alias("__d"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("__t"))
     pair = lambda ls, i: F.concat(F.get(ls, i), F.lit("\n"), F.get(ls, i + 1))
     lines = F.split("text", "\n", -1)
-    hashed = let(lines, lambda ls: F.transform(F.sequence(F.lit(0), F.size(ls) - 2), lambda i: F.struct(i.alias("idx"), F.xxhash64(pair(ls, i)).alias("h"))))
-
-    rows = keyed.where(F.col("text").contains("\n")).select("__d", "__t", F.col("doc_id").isNull().alias("__null"), F.explode(hashed).alias("c")).select("__d", "__t", "__null", "c.idx", "c.h")
-    first = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("__null", "__d", "__t", "idx")).alias("f")).where("n >= 2").select("h", "n", F.col("f.__d").alias("fd"), F.col("f.__t").alias("ft"), F.col("f.idx").alias("fi")))
-    wanted = first.groupBy(F.col("fd").alias("__d"), F.col("ft").alias("__t")).agg(F.collect_list(F.struct(F.col("fi").alias("idx"), "h")).alias("w"))
-    fetched = let(lines, lambda ls: F.transform("w", lambda w: F.struct(w["h"].alias("h"), pair(ls, w["idx"]).alias("kept"))))
-    kept = keyed.join(wanted, ["__d", "__t"]).select(F.explode(fetched).alias("k")).select("k.h", "k.kept")
-    stay = cut(first.join(kept.groupBy("h").agg(F.first("kept").alias("kept")), "h"))  # a row given twice fetches twice
-    later = sliced_join(rows, stay, ["h"], "n", ["__d", "__t", "idx"]).where(~((F.col("__d") == F.col("fd")) & (F.col("__t") == F.col("ft")) & (F.col("idx") == F.col("fi"))))
-    drop = later.groupBy("__d", "__t").agg(F.collect_list(F.struct("idx", "kept")).alias("r"))
 
     def stays(ls: Column) -> Column:
-        same = F.filter("r", lambda r: r["kept"] == pair(ls, r["idx"]))
+        same = F.filter("__r", lambda r: r["kept"] == pair(ls, r["idx"]))
         gone = F.flatten(F.transform(same, lambda r: F.array(r["idx"], r["idx"] + 1)))
         left = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone)
         return F.struct(F.array_join(F.transform(left, lambda i: F.get(ls, i)), "\n").alias("text"), F.size(ls).alias("n"), F.size(left).alias("kept"))
 
-    cleaned = keyed.join(drop, ["__d", "__t"], "left").withColumn("__s", F.when(F.col("r").isNotNull(), let(lines, stays)))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.coalesce(F.col("__s.n"), F.regexp_count("text", F.lit("\n")) + 1))
-    return cleaned.select(*(F.coalesce("__s.text", "text").alias("text") if c == "text" else F.col(c) for c in own), n_lines.cast("long").alias("n_lines"), F.coalesce(F.col("__s.n") - F.col("__s.kept"), F.lit(0)).cast("long").alias("n_removed"))
+    found = let(lines, lambda ls: F.transform(F.sequence(F.lit(0), F.size(ls) - 2), lambda i: F.struct(i.alias("idx"), F.xxhash64(pair(ls, i)).alias("h"))))
+    fetched = let(lines, lambda ls: F.transform("__w", lambda w: F.struct(w["h"].alias("h"), pair(ls, w["idx"]).alias("kept"))))
+    return _deduped(docs, found, fetched, let(lines, stays), added)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,7 +108,7 @@ def mix_sources(docs: DataFrame, weight: Callable[[Column], Column] = cyclic_wei
     out = keyed(sized.join(sent(decided), sized["source"].eqNullSafe(F.col("s.__source"))))
     drawn = F.coalesce((F.col("__key") < F.col("__cut")) | ((F.col("__key") == F.col("__cut")) & F.col("__with")), F.col("__key").isNotNull())  # no cut-off: the eligible hold fewer words than needed, all are drawn
     out = out.withColumn("copies", (F.col("__whole") + drawn.cast("long")).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select(*(c for c in docs.columns if c not in ADDED), *ADDED)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ADDED), *ADDED)
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

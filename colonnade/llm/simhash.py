@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from colonnade.functions.shared import cut
 from colonnade.llm.components import components
+from colonnade.llm.slices import sliced_join
 
 SEED = 42
 
@@ -86,7 +87,7 @@ def fingerprints(docs: DataFrame, words: int = 5, keep: tuple[str, ...] = ("doc_
     return own.mapInArrow(run, own.drop("text").schema.add("fps", T.ArrayType(T.LongType())))
 
 
-def _masks(bits: int, flips: int) -> np.ndarray:
+def ball_masks(bits: int, flips: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for n in range(flips + 1) for c in combinations(range(bits), n)], dtype=np.uint64)
 
 
@@ -98,7 +99,7 @@ def block_links(fps: np.ndarray, lead: int, lead_bits: int, half: int) -> tuple[
     base = (fps & np.uint64((1 << rest) - 1)) | np.uint64(lead << rest)
     for d in range(half + 1):
         own = np.flatnonzero(apart == d)
-        masks = _masks(rest, half - d)
+        masks = ball_masks(rest, half - d)
         word.append((base[own][:, None] ^ masks[None]).ravel())
         owner.append(np.repeat(own.astype(np.int32), len(masks)))
     words, owners = np.concatenate(word), np.concatenate(owner)
@@ -141,7 +142,7 @@ def ball_links(fps: DataFrame, radius: int = 4, block: int = 4096) -> DataFrame:
     half = radius // 2
     most = fps.groupBy("nth").count().agg(F.max("count")).first()[0] or 1
     bits = min(20, max(6, (max(1, most // block) - 1).bit_length()))
-    reach = F.array(*(F.lit(int(m)).cast("long") for m in _masks(bits, half)))
+    reach = F.array(*(F.lit(int(m)).cast("long") for m in ball_masks(bits, half)))
     lead = F.shiftrightunsigned("fp", 64 - bits)
     dealt = fps.select("nth", "fp", F.explode(F.transform(reach, lambda m: lead.bitwiseXOR(m))).alias("lead"))
 
@@ -169,8 +170,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 5) -> DataFra
     found = cut(fingerprints(docs.withColumn("doc_id", F.col("doc_id").cast("long")), words).select("doc_id", F.get("fps", F.lit(0)).alias("fp")))
     distinct = cut(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = rooted(distinct.select(F.col("fp").alias("node"), F.array("fp").alias("fps")), radius).toDF("fp", "root")
-    smallest = distinct.join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    named = roots.join(smallest, "root").select("fp", "component_id")
+    smallest = cut(distinct.join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    named = sliced_join(roots, smallest, ["root"], "n", ["fp"]).select("fp", "component_id")
     return found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colonnade.functions.shared import cut
 
@@ -334,17 +335,17 @@ def train(docs: DataFrame, labels: DataFrame, model: CharModel, max_train: int =
     return Scorer(dict(zip(chosen, w[:k].tolist(), strict=True)), float(w[k]), float(w[k + 1]), Restorer(model))
 
 
-def with_scores(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """docs with a column score."""
-    schema = docs.drop("score").schema.add("score", "double")
-    own, at = docs.drop("score"), docs.drop("score").columns.index("text")
+def with_scores(docs: DataFrame, scorer: Scorer, name: str = "score") -> DataFrame:
+    """docs with a column ``name``; one of that name is replaced."""
+    own = docs.drop(name)
+    at = own.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = pa.array([scorer.score(t.as_py()) for t in b.column(at)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, s], names=[*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, s], names=[*b.schema.names, name])
 
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, **options) -> Scorer:

@@ -4,10 +4,11 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from colonnade import llm
-from colonnade.llm import contamination, simhash, toxicity
+from colonnade.llm import contamination, linechunks, toxicity
 from tests.llm.test_small import kept_by_definition
 from tests.test_catalog import plain
 
@@ -41,20 +42,7 @@ def test_stages_by_definition(spark, tmp_path):
     was, now = seen["line_dedup"]
     assert all(len(r["text"]) == r["n_chars"] for r in now.values()) and len(now) >= 0.9 * len(was)
     was, now = seen["near_duplicates"]
-    fps = {i: simhash.several(t, 5, 12) for i, t in was.items()}
-    root = {i: i for i in fps}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in fps:
-        for j in fps:
-            if i < j and any((x ^ y).bit_count() <= 4 for x, y in zip(fps[i], fps[j], strict=True)):
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    assert set(now) == {i for i in fps if find(i) == i}
+    assert set(now) == kept_by_definition(sorted(was.items()))
     was, now = seen["decontamination"]
     items = [contamination.tokens(r["text"]) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
     dirty = set()
@@ -99,3 +87,14 @@ def test_near_duplicates_are_pairs_of_0_8(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
     assert {r["doc_id"] for r in corpus_pipeline.without_near_duplicates(spark, docs, DIR).collect()} == kept_by_definition(rows)
+
+
+def test_columns_named_like_the_stages_own_are_kept(spark):
+    docs = spark.createDataFrame([(1, "a\nb\nc", "s"), (2, "a\nb\nd", "s"), (3, "x y z", "t")], "doc_id long, text string, source string")
+    own = "r w k h c idx kept n f fd ft fi score n_lines n_removed node size fps bits u v su sv root linked g fp nth lead key".split()
+    docs = docs.withColumns({n: F.lit(7.5) for n in own})
+    assert linechunks.dedup_lines(docs).drop("n_lines", "n_removed").collect()[0]["r"] == 7.5
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        rows = out.collect()
+        assert out.columns == docs.columns and len(rows) == 3 and all(r[n] == 7.5 for r in rows for n in own)

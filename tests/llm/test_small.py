@@ -564,10 +564,44 @@ def test_similar_texts_are_those_of_the_definition(spark, odd):
     assert similar.one_of_similar(odd.limit(0)).count() == 0
 
 
-def test_frequent_shingles_come_last_and_nothing_is_lost():
-    own = np.arange(1, 101, dtype=np.uint64)
-    assert similar.prefix(own, own[:50], np.arange(50)[::-1] + 3).tolist() == list(range(51, 72))
-    assert similar.prefix(own[:1], own[:0], np.zeros(0, np.int64)).tolist() == [1] and not len(similar.prefix(own[:0], own, own))
+def test_meetings_are_pairs_within_the_radius():
+    rng = np.random.default_rng(3)
+    bits, half = 20, 2
+    base = rng.integers(0, 1 << bits, 40, dtype=np.uint64)
+    fps = np.concatenate([base, base[:20] ^ np.uint64(5), base[:10] ^ np.uint64(0x8421), base[:10] ^ np.uint64(0xF0F0F)])
+    own = np.arange(len(fps), dtype=np.uint64)
+    for limit in (1 << 22, 500):  # whole, and divided by further bits
+        found = {(int(a), int(b)) for x, y in similar.meetings(fps, own, 0, 0, bits, half, limit) for a, b in zip(x, y, strict=True)}
+        near = {(j, i) for i, j in itertools.combinations(range(len(fps)), 2) if int(fps[i] ^ fps[j]).bit_count() <= 4}
+        assert found and found <= near
+        words = [{int(f) ^ int(m) for m in simhash.ball_masks(bits, half)} for f in fps]
+        stars = {(j, min(k for k in range(len(fps)) if w in words[k])) for j in range(len(fps)) for w in words[j]}
+        assert found == {(a, b) for a, b in stars if a != b}
+    byparts = {(int(a), int(b)) for lead in range(8) for x, y in similar.meetings(fps, own, lead, 3, bits, half) for a, b in zip(x, y, strict=True)}
+    assert byparts == found
+
+
+def test_tables_reach_the_recall():
+    for n in (1, 1000, 10**6, 10**9, 10**11):
+        bits, tables = similar.tables_for(n)
+        p = similar.within(bits, 4, np.arccos(1.6 / 1.8) / np.pi)
+        assert 1 - (1 - p) ** tables >= 0.99 > 1 - (1 - p) ** (tables - 1) and bits <= 64
+        assert n * similar.within(bits, 4, 0.5) < 30  # met by chance in a table
+
+
+def test_recall_of_near_duplicates(spark):
+    """Pairs just over the similarity asked for, as a share of those found; pairs below never."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(400):
+        words = [f"w{rng.randint(0, 4000)}" for _ in range(rng.randint(60, 600))]
+        near, n = list(words), len(words)
+        while jaccard(" ".join(words), " ".join(near)) > 0.83:
+            near[rng.randrange(n)] = f"e{rng.random()}"
+        texts += [" ".join(words), " ".join(near)]
+    true = {2 * k + 1 for k in range(400) if jaccard(*texts[2 * k : 2 * k + 2]) >= 0.8}
+    gone = set(range(800)) - {r["doc_id"] for r in similar.one_of_similar(documents(spark, texts)).collect()}
+    assert len(true) > 300 and gone <= true and len(gone) >= 0.97 * len(true)
 
 
 def test_ordinary_disguises_open_a_lattice(spark, sf):
