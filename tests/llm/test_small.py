@@ -108,16 +108,47 @@ def test_top_k_against_brute_force(spark):
 
 
 def test_pivot_bounds_stop_early():
-    import pandas as pd
+    rng = np.random.default_rng(3)
+    centres = rng.integers(-200, 200, (8, 16)).astype(float)
+    x = centres[np.arange(4000) % 8] + rng.integers(-3, 3, (4000, 16))
+    rows = topk.Rows(np.arange(4000), x, topk.distances(x, centres))
+    for floor in (-np.inf, float(np.sort(x @ x[0])[-40])):
+        rows.scored = 0
+        ids, scores = next(rows.best(np.array([0]), x[:1], topk.distances(x[:1], centres), np.array([floor]), 5, batch=64))
+        order = sorted((-int(x[0] @ x[i]), i) for i in range(1, 4000))[:5]
+        assert list(zip((-scores).astype(int), ids, strict=True)) == order
+        assert rows.scored <= 640, rows.scored  # of 3,999
 
+
+def test_queries_reach_only_the_blocks_they_need(spark):
     rng = np.random.default_rng(3)
     centres = rng.integers(-200, 200, (8, 16))
-    x = centres[np.arange(4000) % 8] + rng.integers(-3, 3, (4000, 16))
-    pv = np.sqrt(((x[:, None, :] - centres[None]) ** 2).sum(2))
-    frame = pd.DataFrame({"vec_id": np.arange(4000), "dim": 16, "v": list(x), "pv": list(pv)})
-    got = topk.search_block(frame.iloc[:1], frame, 5)
-    order = sorted((-int(x[0] @ x[i]), i) for i in range(1, 4000))[:5]
-    assert list(zip(-got["score"], got["vec_id"], strict=True)) == order
+    x = centres[np.arange(800) % 8] + rng.integers(-3, 3, (800, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<long>")
+    sent, real = [], topk.needed
+    topk.needed = lambda *a: sent.append((out := real(*a)).count()) or out
+    try:
+        got = topk.top_k(df, df.where("vec_id % 50 = 0"), row_block=25, sample=200).collect()
+    finally:
+        topk.needed = real
+    want = {(q, k, i) for q in range(0, 800, 50) for k, (_, i) in enumerate(sorted((-int(x[q] @ x[i]), i) for i in range(800) if i != q)[:5], 1)}
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got} == want
+    assert sent[0] <= 16 * 32 / 3, sent  # 16 queries, 32 blocks or more
+
+
+def test_top_k_of_odd_vectors(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    data = [(0, [1.0, 2.0]), (1, [1e300, 1.0]), (2, [1e300, 2.0]), (3, [-1e300, 5.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, None), (50, [2.0, -1.0]), (8, [3e9, 3e9]), (9, [0.001, -0.001])]
+    spark.createDataFrame(data, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = [tuple(r) for r in topk.op2_top_k(spark, str(tmp_path)).orderBy("query_id", "rank").collect()]
+    exact = {i: [int(x * 256) if abs(x) > 1e6 else int(np.floor(x * 256)) for x in v] for i, v in data if v and all(x is not None and np.isfinite(x) for x in v)}
+    want = []
+    for q in (0, 50):
+        best = sorted((-sum(a * b for a, b in zip(exact[q], exact[i], strict=True)), i) for i in exact if i != q)[:5]
+        want += [(q, k, i, max(-(2**63), min(2**63 - 1, -s))) for k, (s, i) in enumerate(best, 1)]
+    assert got == want
+    spark.createDataFrame([], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "none" / "embeddings.parquet"))
+    assert topk.op2_top_k(spark, str(tmp_path / "none")).count() == 0
 
 
 # ---- 3: SimHash
