@@ -2,10 +2,10 @@
 
 Suffixes are classified as larger or smaller than their successor. The leftmost smaller ones (LMS) are sorted
 by their substrings, named, and where names repeat the string of names is sorted the same way. Two scans over the
-buckets then induce the order of all suffixes in linear time. A scan takes a bucket at a time: all that a
-bucket induces into later buckets is placed by one stable counting sort; what it induces into itself (runs
-of one symbol) follows as a further step of that bucket. Strings of many names (more than ``WIDE``) have
-buckets too small for that and are sorted by doubling from their names' order instead.
+buckets then induce the order of all suffixes in linear time, at each level. With few symbols a scan takes a bucket at
+a time: all that a bucket induces into later buckets is placed by one stable counting sort; what it induces into itself
+(runs of one symbol) follows as a further step of that bucket. Strings of many names (more than ``WIDE``) have buckets
+too small for that; there the same scans go suffix by suffix.
 """
 
 from __future__ import annotations
@@ -75,85 +75,88 @@ def _induce(t: np.ndarray, sigma: int, small: np.ndarray, lms: np.ndarray) -> np
     return sa
 
 
-def _words(t: np.ndarray) -> np.ndarray:
-    """Four 16-bit symbols from each place on, as one number; symbols after the end are 0."""
-    p = np.zeros(len(t) + 4, np.uint64)
-    p[: len(t)] = t
+def _induce_each(t: np.ndarray, sigma: int, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """What :func:`_induce` gives, a suffix at a time: for strings of so many symbols that most buckets hold few."""
     n = len(t)
-    return (p[:n] << np.uint64(48)) | (p[1 : n + 1] << np.uint64(32)) | (p[2 : n + 2] << np.uint64(16)) | p[3 : n + 3]
+    count = np.bincount(t, minlength=sigma)
+    ends = count.cumsum()
 
+    def induces(want: bool) -> list[int]:
+        """By suffix the bucket of the one before it, if that is of the wanted type; else -1. The last entry is for empty places."""
+        out = np.full(n + 1, -1, np.int64)
+        out[1:n] = np.where(small[:-1] == want, t[:-1].astype(np.int64), -1)
+        return out.tolist()
+
+    first = t[lms]
+    order = np.argsort(first, kind="stable")
+    per = np.bincount(first, minlength=sigma)
+    places = np.full(n, n, np.int64)
+    places[(ends - per)[first[order]] + np.arange(len(lms)) - (per.cumsum() - per)[first[order]]] = lms[order]
+    sa, at, bucket = places.tolist(), (ends - count).tolist(), induces(False)
+    for i in sa:  # grows ahead of the scan
+        c = bucket[i]
+        if c >= 0:
+            a = at[c]
+            sa[a] = i - 1
+            at[c] = a + 1
+    at, bucket = ends.tolist(), induces(True)
+    for i in reversed(sa):
+        c = bucket[i]
+        if c >= 0:
+            a = at[c] = at[c] - 1
+            sa[a] = i - 1
+    return np.array(sa, np.int32)
+
+
+def _words(t: np.ndarray, per: int = 4) -> np.ndarray:
+    """So many symbols (4 of 16 bits, 2 of 32) from each place on, as one number; symbols after the end are 0."""
+    n = len(t)
+    p = np.zeros(n + per, np.uint64)
+    p[:n] = t
+    out = p[:n].copy()
+    for i in range(1, per):
+        out = (out << np.uint64(64 // per)) | p[i : n + i]
+    return out
 
-def _same(words: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+
+def _same(t: np.ndarray, per: int, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether t[a : a + size] == t[b : b + size]."""
-    out = np.ones(len(a), bool)
+    words, out = _words(t, per), np.ones(len(a), bool)
     live, at = np.arange(len(a)), 0
     while len(live):
-        cut = (16 * np.maximum(0, 4 - (size[live] - at))).astype(np.uint64)
+        cut = (64 // per * np.maximum(0, per - (size[live] - at))).astype(np.uint64)
         ok = (words[a[live] + at] >> cut) == (words[b[live] + at] >> cut)
         out[live[~ok]] = False
-        at += 4
+        at += per
         live = live[ok & (size[live] > at)]
     return out
 
 
-def _doubled(t: np.ndarray) -> np.ndarray:
-    """Suffix array by doubling; only suffixes that aren't alone in their group are sorted again."""
-    n = len(t)
-    sa = np.argsort(t, kind="stable").astype(np.int64)
-
-    def heads(keys: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        new = np.ones(len(keys), bool)
-        new[1:] = keys[1:] != keys[:-1]
-        return new, np.maximum.accumulate(np.where(new, place, 0))
-
-    new, rank_of = heads(t[sa], np.arange(n))
-    rank = np.zeros(n + 1, np.int64)
-    rank[sa] = rank_of + 1  # 0 is left for the end
-    k = 1
-    alone = new & np.concatenate([new[1:], [True]])
-    places = np.flatnonzero(~alone)
-    while len(places):
-        own = sa[places]
-        key = (rank[own] << 32) | rank[np.minimum(own + k, n)]
-        o = np.argsort(key, kind="stable")
-        own, key = own[o], key[o]
-        sa[places] = own
-        new, head = heads(key, places)
-        rank[own] = head + 1
-        places = places[~(new & np.concatenate([new[1:], [True]]))]
-        k *= 2
-    return sa
-
-
 def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     """Of non-negative integers under sigma; the last is 0 and occurs nowhere else."""
     if len(t) == 1:
         return np.zeros(1, np.int32)
     t = t.astype(np.uint16 if sigma <= 1 << 16 else np.int32)
+    induce = _induce if sigma <= WIDE else _induce_each
     small = _types(t)
     is_lms = np.zeros(len(t), bool)
     is_lms[1:] = small[1:] & ~small[:-1]
     lms = np.flatnonzero(is_lms).astype(np.int32)
     if len(lms) > 1:
-        sa = _induce(t, sigma, small, lms)
+        sa = induce(t, sigma, small, lms)
         by_part = sa[is_lms[sa]]
         follows = np.zeros(len(t), np.int32)
         follows[lms[:-1]], follows[lms[-1]] = lms[1:], lms[-1]
         size = follows[by_part] - by_part + 1
         differs = size[1:] != size[:-1]
         check = np.flatnonzero(~differs)
-        differs[check] = ~_same(_words(t), by_part[1:][check], by_part[:-1][check], size[1:][check])
+        differs[check] = ~_same(t, 4 if sigma <= 1 << 16 else 2, by_part[1:][check], by_part[:-1][check], size[1:][check])
         name = np.zeros(len(t), np.int32)
         name[by_part] = np.concatenate([[0], differs.cumsum()])
         names = name[lms]
         n_names = int(names.max()) + 1
-        if n_names == len(lms):
-            lms = by_part
-        elif n_names <= WIDE:
-            lms = lms[suffix_array(names, n_names)]
-        else:
-            lms = lms[_doubled(names)]
-    return _induce(t, sigma, small, lms)
+        lms = by_part if n_names == len(lms) else lms[suffix_array(names, n_names)]
+    return induce(t, sigma, small, lms)
 
 
 def common_prefixes(t: np.ndarray, sa: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

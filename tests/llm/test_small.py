@@ -258,6 +258,25 @@ def test_suffix_arrays_and_repeats():
         inducedsort.WIDE = wide
 
 
+def test_names_are_sorted_by_induction_at_every_level(spark):
+    """1 MB of given texts has tens of thousands of names; whatever the scan, the order is the same."""
+    raw = "\n".join(r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect() if r["text"]).encode()[: 1 << 20]
+    t, left = inducedsort.joined([raw])
+    levels, real = [], inducedsort.suffix_array
+    inducedsort.suffix_array = lambda s, sigma: levels.append(sigma) or real(s, sigma)
+    try:
+        sa = inducedsort.suffix_array(t, 258)
+    finally:
+        inducedsort.suffix_array = real
+    assert max(levels) > inducedsort.WIDE and len(levels) > 2
+    before, shared = inducedsort.common_prefixes(t, sa, left)
+    for i in random.Random(1).sample(range(len(raw)), 3000):
+        if before[i] >= 0:
+            j, n = int(before[i]), int(shared[i])
+            assert t[i : i + n].tolist() == t[j : j + n].tolist() and t[j : j + n + 400].tolist() < t[i : i + n + 400].tolist()
+    assert sorted(sa.tolist()) == list(range(len(t)))
+
+
 def removed_by_definition(texts, k):
     raws = [(t or "").encode() for t in texts]
     seen = collections.Counter(r[i : i + k] for r in raws for i in range(len(r) - k + 1))
