@@ -193,8 +193,7 @@ class Restorer:
             if (lone[:-2] & lone[1:-1] & lone[2:]).any():
                 for m in SPACED.finditer(low):
                     if WORD.search(m.group()):
-                        for a in range(0, len(m.group()), 4000):  # as long as the text: decoded by pieces, at letters
-                            out.update(self.decoded(m.group()[a : a + 4000]))
+                        out.update(self.decoded(m.group()))
         return out
 
 

@@ -370,6 +370,12 @@ def test_token_rollup(spark, tmp_path, odd):
     assert {tuple(r)[:3]: tuple(r)[3:] for r in store.totals().collect()} == want and store.ledger().count() == 4
     assert store.commit("empty", change([]).limit(0)) and store.commit("b3", change([("insert", 1, "b", "en", "v1", 12, 44)]))
     assert {tuple(r)[:3]: tuple(r)[3:] for r in store.totals().collect()} == want
+    store.compact()
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in store.totals().collect()} == want and not store.commit("b1", change(first)) and len(store._held()) == 1
+    assert store.commit("b5", change([("delete", 3, None, None, "v1", None, None)])) and {tuple(r)[:3] for r in store.totals().collect()} == want.keys() - {(None, None, "v1")}
+    assert store.commit("b6", change(first[2:3])) and len(store._held()) == 3
+    store.compact()
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in store.totals().collect()} == want and len(store._held()) == 1
     (tmp_path / "s/ledger/batch=dead").mkdir()  # a writer that died before its marker
     assert store.ledger().count() == 4
     for bad in ("", "a/b"):
