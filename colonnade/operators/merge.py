@@ -32,7 +32,10 @@ def aligned(base: DataFrame, ours: DataFrame, theirs: DataFrame, key: str) -> tu
 
     def side(df: DataFrame, tag: str) -> DataFrame:
         cells = [(F.col(c) if c in df.columns else F.lit(None)).alias(f"{tag}_{c}") for c in columns]
-        return df.select(F.col(key), *cells, F.lit(True).alias(f"in_{tag}"))
+        # one row for each key, dealt as the join needs it; the message is raised where a key repeats
+        held = df.groupBy(key).agg(F.first(F.struct(*cells, F.lit(True).alias(f"in_{tag}"))).alias("s"), F.count(F.lit(1)).alias("n"))
+        checked = F.when(F.col("n") == 1, F.col("s")).otherwise(F.raise_error(F.format_string(f"{tag}: row key %s stands %d times", F.col(key).cast("string"), F.col("n"))))
+        return held.select(F.col(key), checked.alias("s")).select(key, "s.*")
 
     joined = side(base, "b").join(side(ours, "o"), key, "full_outer").join(side(theirs, "t"), key, "full_outer")
     return joined.withColumns({f"in_{s}": F.coalesce(f"in_{s}", F.lit(False)) for s in "bot"}), columns
@@ -46,7 +49,7 @@ def _same(columns: list[str], a: str, b: str) -> Column:
 
 
 def merge(base: DataFrame, ours: DataFrame, theirs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(merged rows, rows of CONFLICT). Keys must be unique on each side (see validate.duplicate_keys)."""
+    """(merged rows, rows of CONFLICT). A key that stands twice on a side stops the merge when it runs (validate.duplicate_keys lists all)."""
     rows, columns = aligned(base, ours, theirs, key)
     b, o, t = F.col("in_b"), F.col("in_o"), F.col("in_t")
     cells = {c: lattice(F.col(f"b_{c}"), F.col(f"o_{c}"), F.col(f"t_{c}")) for c in columns}

@@ -23,7 +23,8 @@ def nfc(text: pd.Series) -> pd.Series:
 
 
 def folded(name: Column) -> Column:
-    return F.lower(F.regexp_replace(nfc(name), INVISIBLE, ""))
+    """Composed form without invisible characters, case folded (ß as ss; either small sigma)."""
+    return F.translate(F.lower(F.upper(F.regexp_replace(nfc(name), INVISIBLE, ""))), "ς", "σ")
 
 
 def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:

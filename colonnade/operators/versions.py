@@ -134,7 +134,7 @@ def definition_drift(old: TableDef, new: TableDef) -> list[tuple[str, str]]:
                 rename[a], grown = match, True
     taken = {b for a, b in rename.items() if b in old.formulas and _renamed(old.formulas[b], rename) != new.formulas[b]}
     texts = [(n, f, new.formulas.get(n)) for n, f in old.formulas.items()] + [(n, f, new.aggregates.get(n)) for n, f in old.aggregates.items()]
-    read = lambda n, f: names(parse(f)) if n in old.formulas else {old.scalars()[n].column, *(p for p, _ in old.scalars()[n].literal)}
+    read = lambda n, f: names(parse(f)) if n in old.formulas else {c for _, a in old.scalars()[n] for c in (a.column, *(p for p, _ in a.literal))}
     return sorted((n, x) for n, f, g in texts if f == g for x in read(n, f) & taken)
 
 

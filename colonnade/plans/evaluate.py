@@ -131,7 +131,7 @@ def group_aggregate(df: DataFrame, name: str, tree: Agg, table: TableDef) -> Dat
 
 
 def look_up(df: DataFrame, name: str, tree: Lookup, tables: dict[str, tuple[DataFrame, str | None]]) -> DataFrame:
-    """tables: name -> (rows, declared key)."""
+    """tables: name -> (rows, declared key). A key that the target repeats is a broken reference; numeric keys meet as numbers."""
 
     def broken(what: str) -> DataFrame:
         return df.withColumns({name: none(), f"{name}__err": F.lit(what)})
@@ -143,13 +143,18 @@ def look_up(df: DataFrame, name: str, tree: Lookup, tables: dict[str, tuple[Data
         return broken(f"{tree.table}#{tree.value if key is not None else 'key'}")
     if tree.key not in df.columns:
         return broken(tree.key)
+    numeric = all(isinstance(d.schema[c].dataType, T.NumericType) for d, c in ((df, tree.key), (target, key)))
+    as_key = lambda c: F.col(c).cast("double" if numeric else "string")
     has_err = f"{tree.value}__err" in target.columns
-    right = target.select(F.col(key).cast("string").alias("__k"), F.col(tree.value).cast("string").alias("__v"), (F.col(f"{tree.value}__err") if has_err else none()).alias("__e"))
+    cells = F.struct(F.col(tree.value).cast("string").alias("v"), (F.col(f"{tree.value}__err") if has_err else none()).alias("e"))
+    # one row for each key: the join needs the target dealt by it anyway
+    right = target.where(F.col(key).isNotNull()).groupBy(as_key(key).alias("__k")).agg(F.first(cells).alias("__c"), F.count(F.lit(1)).alias("__n"))
     own = _cell(df, tree.key)
-    joined = df.withColumn("__q", F.col(tree.key).cast("string")).join(right, F.col("__q") == F.col("__k"), "left")
-    miss = F.when(F.col("__k").isNull(), F.format_string(f"{tree.table}[%s]", F.col("__q")))
-    err = F.coalesce(own.err, miss, F.col("__e"))
-    return joined.withColumns({name: F.when(err.isNull(), F.col("__v")), f"{name}__err": err}).drop("__q", "__k", "__v", "__e")
+    joined = df.withColumn("__q", as_key(tree.key)).join(right, F.col("__q") == F.col("__k"), "left")
+    shown_key = F.col(tree.key).cast("string")
+    miss = F.when(F.col("__k").isNull(), F.format_string(f"{tree.table}[%s]", shown_key)).when(F.col("__n") > 1, F.format_string(f"{tree.table}[%s] x %d", shown_key, F.col("__n")))
+    err = F.coalesce(own.err, miss, F.col("__c.e"))
+    return joined.withColumns({name: F.when(err.isNull(), F.col("__c.v")), f"{name}__err": err}).drop("__q", "__k", "__c", "__n")
 
 
 def row_relative(df: DataFrame, columns: dict[str, RowRel], table: TableDef) -> DataFrame:
@@ -212,18 +217,25 @@ def evaluate(df: DataFrame, table: TableDef, tables: dict[str, tuple[DataFrame,
 
 
 def scalars(df: DataFrame, table: TableDef) -> DataFrame:
-    """One row: each declared aggregate and its ``__err``; an aggregate over any error is that error."""
+    """One row: each declared value (a sum of aggregates with signs) and its ``__err``; an aggregate over any error is that error, a sum the first of its terms'."""
     columns = []
-    for name, tree in table.scalars().items():
-        if tree.same:
-            raise Refused(f"{name}: @ has no row here")
-        missing = next((c for c in (tree.column, *(p for p, _ in tree.literal)) if c not in df.columns), None)
-        if missing:
-            columns += [F.lit(None).cast("double").alias(name), F.lit(missing).alias(f"{name}__err")]
-            continue
-        value, err = _poisoned(tree.fn, _pair(df, tree.column), _blank(df, tree.column), _rank(df, table), _matches(tree.literal), f"{tree.column}__err" not in df.columns)
-        v, e = _finish(value, err, tree.fn)
-        columns += [v.alias(name), e.alias(f"{name}__err")]
+    for name, terms in table.scalars().items():
+        parts = []
+        for sign, tree in terms:
+            if tree.same:
+                raise Refused(f"{name}: @ has no row here")
+            missing = next((c for c in (tree.column, *(p for p, _ in tree.literal)) if c not in df.columns), None)
+            if missing:
+                parts.append((F.lit(None).cast("double"), F.lit(missing)))
+                continue
+            value, err = _poisoned(tree.fn, _pair(df, tree.column), _blank(df, tree.column), _rank(df, table), _matches(tree.literal), f"{tree.column}__err" not in df.columns)
+            v, e = _finish(value, err, tree.fn)
+            parts.append((-v if sign < 0 else v, e))
+        total = parts[0][0]
+        for v, _ in parts[1:]:
+            total = total + v
+        err = F.coalesce(*(e for _, e in parts)) if len(parts) > 1 else parts[0][1]
+        columns += [total.alias(name), err.alias(f"{name}__err")]
     return df.agg(*columns)
 
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from colonnade.plans.grammar import Agg, RowRel, parse, parse_aggregate
+from colonnade.plans.grammar import Agg, RowRel, parse, parse_total
 
 
 @dataclass
 class TableDef:
-    """formulas: computed columns by name; aggregates: name -> text like ``sum(total where region = "EU")``."""
+    """formulas: computed columns by name; aggregates: name -> text like ``sum(total where region = "EU") - min(total)``."""
 
     formulas: dict[str, str] = field(default_factory=dict)
     aggregates: dict[str, str] = field(default_factory=dict)
@@ -21,12 +21,9 @@ class TableDef:
     def trees(self) -> dict[str, object]:
         return {n: parse(f) for n, f in self.formulas.items()}
 
-    def scalars(self) -> dict[str, Agg]:
-        out = {}
-        for name, text in self.aggregates.items():
-            fn, _, body = text.partition("(")
-            out[name] = parse_aggregate(fn.strip(), body.rstrip().removesuffix(")"))
-        return out
+    def scalars(self) -> dict[str, list[tuple[int, Agg]]]:
+        """Each declared value as a sum of aggregates with signs."""
+        return {name: parse_total(text) for name, text in self.aggregates.items()}
 
     def needs_order(self) -> bool:
         return any(isinstance(t, RowRel) for t in self.trees().values())

@@ -8,7 +8,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.plans.grammar import Refused, parse, parse_aggregate
+from colonnade.plans.grammar import Refused, parse, parse_total
 from colonnade.plans.model import TableDef
 
 #: Marks of an unresolved merge, an alignment cell, a declaration, an order.
@@ -57,10 +57,9 @@ def read_table(text: str) -> tuple[list[str], list[list[str]], TableDef]:
                 raise Refused(f"malformed order: {body!r}")
             table.order = o[1]
         else:
-            fn, _, rest = body.partition("(")
             if not body.endswith(")"):
                 raise Refused(f"malformed declaration: {line!r}")
-            parse_aggregate(fn.strip(), rest[:-1])
+            parse_total(body)
             table.aggregates[name] = body
     header = cells(bars[0])
     columns = []

@@ -5,15 +5,14 @@ from colonnade.plans.grammar import Refused, parse
 from colonnade.plans.model import TableDef
 from colonnade.sources import tabletext as tt
 
-BUDGET = """| id | item | qty | unit | total = qty * unit |
+STOCK = """| tag | thing | count | each | worth = count * each |
 | --- | --- | --: | --: | --: |
-| r1 | widget | 10 | 12.00 |  |
-| r2 | gadget | 20 | 6.00 |  |
-| r3 | sprocket | 8 | 15.00 |  |
-| r4 | cog | 12 | 10.00 |  |
+| k1 | lamp | 7 | 9.00 |  |
+| k4 | rope | 3 | 4.50 |  |
+| k9 | tarp | 2 | 31.25 |  |
 
-key := id
-grand := sum(total)
+key := tag
+whole := sum(worth)
 """
 LEDGER = """| id | date | amount | balance = cumulative(amount) | move = delta(amount) | was = prior(amount) |
 | --- | --: | --: | --: | --: | --: |
@@ -34,10 +33,19 @@ def run(spark, text, **tables):
     return df, shown(scalars(df, table)).first() if table.aggregates else None
 
 
-def test_budget(spark):
-    assert run(spark, BUDGET)[1]["grand"] == "480.0"
-    assert run(spark, BUDGET.replace("| unit |", "| price |"))[1]["grand"] == "#REF!(unit)"
-    assert run(spark, BUDGET.replace("sum(total)", "sum(nope)"))[1]["grand"] == "#REF!(nope)"
+def test_stock(spark):
+    assert run(spark, STOCK)[1]["whole"] == "139.0"
+    assert run(spark, STOCK.replace("| each |", "| price |"))[1]["whole"] == "#REF!(each)"
+    assert run(spark, STOCK.replace("sum(worth)", "sum(gone)"))[1]["whole"] == "#REF!(gone)"
+
+
+def test_sums_of_aggregates(spark):
+    more = STOCK + 'gap := max(worth) - min(worth)\nodd := -count(thing) + sum(worth where thing = "a - b") + sum(count where thing = "lamp")\nbad := sum(worth) - sum(gone)\n'
+    agg = run(spark, more)[1]
+    assert (agg["gap"], agg["odd"], agg["bad"]) == ("49.5", "4.0", "#REF!(gone)")
+    for text in ("sum(worth) * 2", "sum(worth) - 3", "sum(worth) -", "sum(worth) min(worth)"):
+        with pytest.raises(Refused):
+            TableDef({}, {"x": text}).scalars()
 
 
 def test_running_totals_follow_the_declared_order(spark):
@@ -53,34 +61,38 @@ def test_bad_rows_are_skipped_by_running_totals(spark):
 
 
 def test_group_aggregates(spark):
-    text = """| id | region | rep | amount | rt = sum(amount where region = @region) | rr = sum(amount where region = @region and rep = @rep) |
+    text = """| no | hall | guide | seats | in_hall = sum(seats where hall = @hall) | with_guide = sum(seats where hall = @hall and guide = @guide) |
 | --- | --- | --- | --- | --- | --- |
-| 1 | EU | ann | 100 |  |  |
-| 2 | EU | bob | 40 |  |  |
-| 3 | US | ann | 250 |  |  |
-| 4 | EU | ann | 60 |  |  |
-
-key := id
-eu := sum(amount where region = "EU")
+| 7 | west | kim | 12 |  |  |
+| 3 | east | kim | 35 |  |  |
+| 5 | west | lou | 8 |  |  |
+| 6 | west | kim | 21 |  |  |
+| 2 | east | pat | 4 |  |  |
+
+key := no
+west := sum(seats where hall = "west")
 """
     df, agg = run(spark, text)
-    assert {r["id"]: (r["rt"], r["rr"]) for r in df.collect()} == {"1": (200, 160), "2": (200, 40), "3": (250, 250), "4": (200, 160)}
-    assert agg["eu"] == "200.0"
+    assert {r["no"]: (r["in_hall"], r["with_guide"]) for r in df.collect()} == {"7": (41, 33), "3": (39, 35), "5": (41, 8), "6": (41, 33), "2": (39, 4)}
+    assert agg["west"] == "41.0"
 
 
 def test_lookup(spark):
-    customers = spark.createDataFrame([("c1", "Acme"), ("c2", "Borax")], "id string, name string")
-    text = """| id | customer | amount | who = lookup(customers, customer, name) | w2 = lookup(customers, customer, tier) | w3 = lookup(none, customer, name) |
+    boats = spark.createDataFrame([("b7", "Petrel"), ("b2", "Heron"), ("b5", "Tern"), ("b5", "Gull")], "code string, boat string")
+    text = """| trip | code | miles | name = lookup(boats, code, boat) | w2 = lookup(boats, code, crew) | w3 = lookup(none, code, boat) |
 | --- | --- | --- | --- | --- | --- |
-| 1 | c1 | 100 |  |  |  |
-| 2 | c9 | 250 |  |  |  |
+| 1 | b2 | 40 |  |  |  |
+| 2 | b8 | 15 |  |  |  |
+| 3 | b5 | 6 |  |  |  |
 
-key := id
-total := sum(amount)
+key := trip
+far := sum(miles)
 """
-    df, agg = run(spark, text, customers=(customers, "id"))
-    assert {r["id"]: (r["who"], r["w2"], r["w3"]) for r in shown(df).collect()} == {"1": ("Acme", "#REF!(customers#tier)", "#REF!(none)"), "2": ("#REF!(customers[c9])", "#REF!(customers#tier)", "#REF!(none)")}
-    assert agg["total"] == "350.0"
+    df, agg = run(spark, text, boats=(boats, "code"))
+    assert {r["trip"]: (r["name"], r["w2"], r["w3"]) for r in shown(df).collect()} == {"1": ("Heron", "#REF!(boats#crew)", "#REF!(none)"), "2": ("#REF!(boats[b8])", "#REF!(boats#crew)", "#REF!(none)"), "3": ("#REF!(boats[b5] x 2)", "#REF!(boats#crew)", "#REF!(none)")}
+    assert agg["far"] == "61.0"
+    numbers = evaluate(spark.createDataFrame([(1.0,), (2.0,)], "k double"), TableDef({"v": "lookup(t, k, v)"}), {"t": (spark.createDataFrame([(1, "x")], "id int, v string"), "id")})
+    assert {r["k"]: r["v"] for r in shown(numbers).collect()} == {1.0: "x", 2.0: "#REF!(t[2.0])"}
 
 
 def test_errors_keep_their_origin(spark):
@@ -101,25 +113,25 @@ def test_refused_formulas(text):
 @pytest.mark.parametrize(
     ("change", "why"),
     [
-        (lambda t: t + "<<<<<<< ours\n", "conflict"), (lambda t: t.replace("| item |", "| id |"), "duplicate column"), (lambda t: t + "key := item\n", "duplicate declaration"), (lambda t: t.replace("| r2 |", "| r1 |"), "duplicate row key"),
-        (lambda t: t.replace("| cog |", "| cog | x |"), "field count"), (lambda t: t.replace("total)", "total"), "malformed"), (lambda t: t.replace("sum(", "median("), "unknown aggregate"), (lambda t: "no table", "no table"),
-        (lambda t: t.replace("10.00 |  |", "10.00 | 7 |"), "value in computed"), (lambda t: t.replace("qty * unit", "cumulative(qty)"), "without an order"), (lambda t: t.replace("key := id", "order := by(qty)").replace("qty * unit", "prior(qty)"), "needs a key"),
-        (lambda t: t.replace("qty * unit", "prior(qty)") + "order := by(total)\n", "computed"), (lambda t: t.replace("| 20 |", "| 2026-1-2 |") + "order := by(qty)\n", "mixed"), (lambda t: t + "order := by(zzz)\n", "unknown order"),
+        (lambda t: t + "<<<<<<< ours\n", "conflict"), (lambda t: t.replace("| thing |", "| tag |"), "duplicate column"), (lambda t: t + "key := thing\n", "duplicate declaration"), (lambda t: t.replace("| k1 |", "| k4 |"), "duplicate row key"),
+        (lambda t: t.replace("| tarp |", "| tarp | x |"), "field count"), (lambda t: t.replace("worth)", "worth"), "malformed"), (lambda t: t.replace("sum(", "median("), "unknown aggregate"), (lambda t: "no table", "no table"),
+        (lambda t: t.replace("31.25 |  |", "31.25 | 7 |"), "value in computed"), (lambda t: t.replace("count * each", "cumulative(count)"), "without an order"), (lambda t: t.replace("key := tag", "order := by(count)").replace("count * each", "prior(count)"), "needs a key"),
+        (lambda t: t.replace("count * each", "prior(count)") + "order := by(worth)\n", "computed"), (lambda t: t.replace("| 7 |", "| 2026-1-2 |") + "order := by(count)\n", "mixed"), (lambda t: t + "order := by(zzz)\n", "unknown order"),
     ],
 )
 def test_refused_tables(change, why):
     with pytest.raises(Refused, match=why):
-        tt.read_table(change(BUDGET))
+        tt.read_table(change(STOCK))
 
 
 def test_text_round_trip_and_edit(spark, tmp_path):
-    columns, rows, table = tt.read_table(BUDGET)
+    columns, rows, table = tt.read_table(STOCK)
     df = tt.stored(spark, columns, rows, table)
-    text = "\n".join(r["line"] for r in tt.render(df, table, ("qty", "unit")).collect())
+    text = "\n".join(r["line"] for r in tt.render(df, table, ("count", "each")).collect())
     assert tt.read_table(text)[:2] == (columns, rows)
-    (tmp_path / "t.tbl").write_text(BUDGET)
-    assert tt.scan_rows(spark, str(tmp_path / "t.tbl"), columns).count() == 4
-    assert tt.set_cell(df, table, "r2", "qty", "7").where("id = 'r2'").first()["qty"] == "7"
-    for bad in (("r1", "total"), ("r1", "zzz")):
+    (tmp_path / "t.tbl").write_text(STOCK)
+    assert tt.scan_rows(spark, str(tmp_path / "t.tbl"), columns).count() == 3
+    assert tt.set_cell(df, table, "k1", "count", "8").where("tag = 'k1'").first()["count"] == "8"
+    for bad in (("k4", "worth"), ("k4", "zzz")):
         with pytest.raises(Refused):
             tt.set_cell(df, table, bad[0], bad[1], "1")
