@@ -116,3 +116,25 @@ def depth_by_gap(versions: DataFrame, file: str, gaps: list[int]) -> DataFrame:
 def true_merges(commits: DataFrame) -> DataFrame:
     """Commits (version, parent1, parent2, base, blob, blob1, blob2, blob0) of which both sides differ from the base."""
     return commits.where("parent2 is not null and blob1 <> blob0 and blob2 <> blob0 and blob1 <> blob2")
+
+
+def distinct_counts(df: DataFrame, *columns: str) -> DataFrame:
+    """One row: how many different values each column has; nulls are no value."""
+    return df.agg(*(F.countDistinct(c).alias(c) for c in columns))
+
+
+def distinct_facts(df: DataFrame, fact: list[str], item: str) -> DataFrame:
+    """Each different fact once (null equals null), with how often it stands and its least item."""
+    return df.groupBy(*fact).agg(F.count(F.lit(1)).alias("n"), F.min(item).alias("first"))
+
+
+def top(df: DataFrame, by: list[str], k: int) -> DataFrame:
+    """The k most frequent combinations, ties in ascending order (null first). Each task keeps k rows; nothing is sorted as a whole."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *by).limit(k)
+
+
+def ledger_summary(df: DataFrame, ledger: str, refused: Column, carried: str, rows: str) -> DataFrame:
+    """Per ledger: versions, those refused and their share, and the share of rows carried over among those that were not."""
+    ok = ~F.coalesce(refused, F.lit(False))
+    n, bad = F.count(F.lit(1)), F.count(F.when(~ok, 1))
+    return df.groupBy(ledger).agg(n.alias("versions"), bad.alias("refused"), (bad / n).alias("refusal_rate"), F.try_divide(F.sum(F.when(ok, F.col(carried))), F.sum(F.when(ok, F.col(rows)))).alias("carriage"))

@@ -26,6 +26,22 @@ def minted_id(columns: list[str], prefix: str = "r_") -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha1(F.concat_ws("\x1f", *map(_text, columns)).cast("binary")), 1, 10))
 
 
+def legal_names(df: DataFrame, scope: list[str], name: str, position: str, out: str = "legal") -> DataFrame:
+    """Adds a legal identifier for each name of a scope: lower case, other characters as one underscore, a letter in front.
+
+    Names of a scope that come out alike, by position the first keeps the bare form, the others get _2, _3 and so on; a suffixed
+    form that is itself another's bare form gets a further underscore. An empty or null name is ``c``.
+    """
+    bare = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    bare = F.when(bare == "", "c").when(bare.rlike("^[0-9]"), F.concat(F.lit("c_"), bare)).otherwise(bare)
+    n = F.row_number().over(Window.partitionBy(*scope, "__bare").orderBy(position))
+    taken = F.collect_set("__bare").over(Window.partitionBy(*scope))  # the names of one table's header, few
+    numbered = F.concat("__bare", F.lit("_"), F.col("__n").cast("string"))
+    held = df.withColumn("__bare", bare).withColumn("__n", n).withColumn("__taken", taken)
+    picked = F.when(F.col("__n") == 1, F.col("__bare")).when(F.array_contains("__taken", numbered), F.concat("__bare", F.lit("__"), F.col("__n").cast("string"))).otherwise(numbered)
+    return held.withColumn(out, picked).drop("__bare", "__n", "__taken")
+
+
 def occurrence_key(df: DataFrame, key: list[str], position: list[str], name: str = "okey") -> DataFrame:
     """k, then k#2, k#3 for repeats, in the order of position."""
     n = F.row_number().over(Window.partitionBy(*key).orderBy(*position))

@@ -587,3 +587,43 @@ def formula_translate(spark, d):
     f = F.when(k % 5 == 0, F.concat(F.lit("=B"), r, F.lit("*C"), r)).when(k % 5 == 1, F.lit("=SUM(D2:D999)")).when(k % 5 == 2, F.concat(F.lit("=IF(B"), r, F.lit(">10,C"), r, F.lit(",0)"))).when(k % 5 == 3, F.lit("=NOW()")).otherwise(F.concat(F.lit('=SUMIF(A2:A999,A'), r, F.lit(",D2:D999)")))
     out = table(spark, d, "part").select("p_partkey", translate.translated(f, (k + 1).cast("int"), {"A": "vendor", "B": "qty", "C": "unit", "D": "total"}, 2, 999).alias("t"))
     return out.select("p_partkey", "t.kind", "t.named", "t.reason")
+
+
+# ---- reports and names ----------------------------------------------------------------------------------
+
+
+@query("""SELECT count(DISTINCT l_partkey) AS l_partkey, count(DISTINCT l_suppkey) AS l_suppkey, count(DISTINCT l_shipdate) AS l_shipdate, count(DISTINCT l_returnflag) AS l_returnflag FROM lineitem""")
+def distinct_counts(spark, d):
+    return compare.distinct_counts(table(spark, d, "lineitem"), "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag")
+
+
+@query("""SELECT l_quantity, l_discount, l_returnflag, count(*) AS n, min(l_orderkey) AS first FROM lineitem GROUP BY 1, 2, 3""")
+def distinct_facts(spark, d):
+    return compare.distinct_facts(table(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_returnflag"], "l_orderkey")
+
+
+@query("""SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY 1, 2 ORDER BY n DESC, p_brand, p_size LIMIT 25""")
+def top_combinations(spark, d):
+    return compare.top(table(spark, d, "part"), ["p_brand", "p_size"], 25)
+
+
+@query("""SELECT l_suppkey, count(*) AS versions, count(*) FILTER (WHERE l_returnflag = 'R') AS refused, count(*) FILTER (WHERE l_returnflag = 'R') / count(*)::DOUBLE AS refusal_rate,
+round(sum(l_linenumber) FILTER (WHERE l_returnflag <> 'R') / nullif(sum(l_quantity) FILTER (WHERE l_returnflag <> 'R'), 0), 9) AS carriage FROM lineitem GROUP BY 1""")
+def ledger_summary(spark, d):
+    return rounded(compare.ledger_summary(table(spark, d, "lineitem"), "l_suppkey", F.col("l_returnflag") == "R", "l_linenumber", "l_quantity"), 9, "carriage")
+
+
+@query("""WITH b AS (SELECT p_partkey, p_brand, trim(regexp_replace(lower(split_part(p_name, ' ', 1) || ' !' || (p_size % 3)), '[^a-z0-9]+', '_', 'g'), '_') AS bare FROM part),
+n AS (SELECT *, row_number() OVER (PARTITION BY p_brand, bare ORDER BY p_partkey) AS n, list(bare) OVER (PARTITION BY p_brand) AS taken FROM b)
+SELECT p_partkey, CASE WHEN n = 1 THEN bare WHEN list_contains(taken, bare || '_' || n) THEN bare || '__' || n ELSE bare || '_' || n END AS legal FROM n""")
+def legal_names(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_brand", F.concat(F.substring_index("p_name", " ", 1), F.lit(" !"), (F.col("p_size") % 3).cast("string")).alias("name"))
+    return versions.legal_names(p, ["p_brand"], "name", "p_partkey").select("p_partkey", "legal")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN '#REF!(nation[' || c_nationkey || '] x 2)' ELSE n_name END AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def lookup_repeated_key(spark, d):
+    n = table(spark, d, "nation")
+    twice = n.union(n.where("n_nationkey % 2 = 0"))
+    t = TableDef({"nation": "lookup(nation, c_nationkey, n_name)"}, key="c_custkey")
+    return shown(evaluate(table(spark, d, "customer"), t, {"nation": (twice, "n_nationkey")})).select("c_custkey", "nation")
