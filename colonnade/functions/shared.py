@@ -15,6 +15,8 @@ def shared_dir(spark: SparkSession) -> str:
     if held.isDefined():
         return named or held.get().rsplit("/", 1)[0]
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="colonnade-")
     spark.sparkContext.setCheckpointDir(named)
     return named

@@ -32,10 +32,7 @@ def aligned(base: DataFrame, ours: DataFrame, theirs: DataFrame, key: str) -> tu
 
     def side(df: DataFrame, tag: str) -> DataFrame:
         cells = [(F.col(c) if c in df.columns else F.lit(None)).alias(f"{tag}_{c}") for c in columns]
-        # one row for each key, dealt as the join needs it; the message is raised where a key repeats
-        held = df.groupBy(key).agg(F.first(F.struct(*cells, F.lit(True).alias(f"in_{tag}"))).alias("s"), F.count(F.lit(1)).alias("n"))
-        checked = F.when(F.col("n") == 1, F.col("s")).otherwise(F.raise_error(F.format_string(f"{tag}: row key %s stands %d times", F.col(key).cast("string"), F.col("n"))))
-        return held.select(F.col(key), checked.alias("s")).select(key, "s.*")
+        return df.select(F.col(key), *cells, F.lit(True).alias(f"in_{tag}"))
 
     joined = side(base, "b").join(side(ours, "o"), key, "full_outer").join(side(theirs, "t"), key, "full_outer")
     return joined.withColumns({f"in_{s}": F.coalesce(f"in_{s}", F.lit(False)) for s in "bot"}), columns
@@ -49,7 +46,7 @@ def _same(columns: list[str], a: str, b: str) -> Column:
 
 
 def merge(base: DataFrame, ours: DataFrame, theirs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(merged rows, rows of CONFLICT). A key that stands twice on a side stops the merge when it runs (validate.duplicate_keys lists all)."""
+    """(merged rows, rows of CONFLICT). A key that stands more than once on a side is a conflict ``repeated key`` (its rows of all sides meet in pairs); what was merged should not be used then."""
     rows, columns = aligned(base, ours, theirs, key)
     b, o, t = F.col("in_b"), F.col("in_o"), F.col("in_t")
     cells = {c: lattice(F.col(f"b_{c}"), F.col(f"o_{c}"), F.col(f"t_{c}")) for c in columns}
@@ -65,7 +62,11 @@ def merge(base: DataFrame, ours: DataFrame, theirs: DataFrame, key: str) -> tupl
     found += [record("modify/delete", b & o & ~t & ~_same(columns, "b", "o"), None), record("delete/modify", b & ~o & t & ~_same(columns, "b", "t"), None)]
     found += [record("add/add", ~b & o & t & ~F.col(f"o_{c}").eqNullSafe(F.col(f"t_{c}")), c) for c in columns]
     conflicts = rows.select(F.explode(F.array_compact(F.array(*found))).alias("c")).select("c.*")
-    return merged, conflicts
+    sides = (F.lit(1).alias("base"), F.lit(1).alias("ours"), F.lit(1).alias("theirs"))
+    tagged = [df.select(F.col(key), *(c if i == at else F.lit(0).alias(n) for i, (c, n) in enumerate(zip(sides, ("base", "ours", "theirs"), strict=True)))) for at, df in enumerate((base, ours, theirs))]
+    counts = tagged[0].unionAll(tagged[1]).unionAll(tagged[2]).groupBy(key).agg(*(F.sum(n).alias(n) for n in ("base", "ours", "theirs"))).where("greatest(base, ours, theirs) > 1")
+    repeated = counts.select(F.lit("repeated key").alias("kind"), F.col(key).cast("string").alias("key"), F.lit(None).cast("string").alias("column"), *(F.col(n).cast("string").alias(n) for n in ("base", "ours", "theirs")))
+    return merged, conflicts.unionByName(repeated)
 
 
 def merge_maps(base: dict, ours: dict, theirs: dict) -> tuple[dict, list[str]]:

@@ -192,3 +192,11 @@ def test_late_rows_are_evaluated_again(spark, tmp_path):
         keep_evaluated(stream, t, str(tmp_path / "store"), str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
     got = latest(spark.read.parquet(str(tmp_path / "out")), t)
     assert {r["id"]: r["total"] for r in got.collect()} == {1: 1.0, 2: 5.0, 4: 11.0, 3: 13.0}
+
+
+def test_repeated_merge_keys_are_conflicts(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "id int, x string")
+    ours = base.union(spark.createDataFrame([(2, "c")], base.schema))
+    _, conflicts = merge.merge(base, ours, base, "id")
+    assert ("repeated key", "2", None, "1", "2", "1") in {tuple(r) for r in conflicts.collect()}
+    assert merge.merge(base, base, base, "id")[1].count() == 0
