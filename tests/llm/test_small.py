@@ -676,3 +676,19 @@ def test_mixing_draws_all_eligible_where_they_are_too_few(spark):
     got = mixing.mix_sources(docs, importance=F.when(F.col("doc_id") % 20 == 0, 1.0).otherwise(0.0)).collect()
     short = {r["source"] for r in got if r["target"] % r["source_size"] > 5}
     assert short and all(r["copies"] == r["target"] // r["source_size"] + (r["doc_id"] % 20 == 0) for r in got if r["source"] in short)
+
+
+def test_room_rules_out_no_similar_pair():
+    """A pair of similarity 0.8 or more never differs in more shingles than room says; one that differs in more is below 0.8."""
+    a, b, o = (x.ravel() for x in np.meshgrid(*[np.arange(1, 61)] * 3))
+    a, b, o = (x[(o <= a) & (o <= b)] for x in (a, b, o))
+    assert (((a + b - 2 * o) <= similar.room(a, b)) == (5 * o >= 4 * (a + b - o))).all()
+
+
+def test_small_bitmaps_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 40, 700):
+        x = rng.integers(0, 2**63, n, dtype=np.uint64)
+        y = np.concatenate([x[n // 5 :], rng.integers(0, 2**63, n // 7, dtype=np.uint64)])
+        maps = [np.bitwise_xor.reduce(np.frombuffer(similar.bitmap(s), np.uint64).reshape(-1, similar.SMALL // 64)) for s in (x, y)]
+        assert np.bitwise_count(maps[0] ^ maps[1]).sum() <= len(np.setxor1d(x, y))
