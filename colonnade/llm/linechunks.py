@@ -11,7 +11,8 @@ remove the others. No key gathers rows without a partial aggregate before the sh
 rows meet the one that stays in slices (:mod:`slices`).
 
 Chunks miss a repeated passage that holds no whole chunk of two lines. :func:`dedup_passages` misses none of two
-or more lines: it takes each pair of neighbouring lines for a chunk, so that chunks overlap.
+or more lines: after the chunks it compares the pairs of neighbouring lines that are left, which are those inside
+distinct chunks and those across the borders of all.
 
 Defined cases: a null text stays null, with n_lines and n_removed 0; an empty text has one empty line; a
 text that loses all lines becomes the empty string; a null doc_id sorts last; rows with equal doc_id and
@@ -42,15 +43,20 @@ def _line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def chunks(text: Column, window: int, divisor: int, body: Callable[[Column, Column], Column]) -> Column:
-    """body(lines, chunks); chunks: array of struct(idx from 0, first from 1, n)."""
+def chunks(text: Column, window: int, divisor: int, body: Callable[[Column, Column], Column], joined: bool = False) -> Column:
+    """body(lines, chunks); chunks: array of struct(idx from 0, first from 1, n).
+
+    joined: of borders at neighbouring lines only the first counts, none before the last line; a text of two or more lines has no chunk of one.
+    """
 
     def rolled(hashes: Column, end: Column) -> Column:
         return F.aggregate(F.slice(hashes, end - (window - 1), F.lit(window)), F.lit(0).cast("long"), lambda a, x: (a * BASE + x) % PRIME)
 
     def ends(lines: Column, hashes: Column) -> Column:
         last = F.size(lines)
-        return F.filter(F.sequence(F.lit(1), last), lambda i: (i == last) | F.when(i >= window, rolled(hashes, i) % divisor == 0).otherwise(F.lit(False)))
+        border = lambda i: F.when(i >= window, rolled(hashes, i) % divisor == 0).otherwise(F.lit(False))
+        inner = (lambda i: border(i) & ~border(i - 1) & (i > 1) & (i < last - 1)) if joined else border
+        return F.filter(F.sequence(F.lit(1), last), lambda i: (i == last) | inner(i))
 
     def spans(e: Column) -> Column:
         def span(end: Column, k: Column) -> Column:
@@ -67,17 +73,26 @@ def _joined(lines: Column, chunk: Column) -> Column:
     return F.array_join(F.slice(lines, chunk["first"], chunk["n"]), "\n")
 
 
-def _deduped(docs: DataFrame, found: Column, fetched: Column, stays: Column, added: tuple[str, str]) -> DataFrame:
+def _firsts(rows: DataFrame, *more: str) -> DataFrame:
+    """How often each h occurs and where first: h, n, f (struct of __null, __d, __t, idx and more)."""
+    return rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("__null", "__d", "__t", "idx", *more)).alias("f"))
+
+
+def _repeated(firsts: DataFrame) -> DataFrame:
+    return firsts.where("n >= 2").select("h", "n", F.col("f.__d").alias("fd"), F.col("f.__t").alias("ft"), F.col("f.idx").alias("fi"))
+
+
+def _deduped(docs: DataFrame, parts: Callable[[DataFrame], tuple[DataFrame, DataFrame]], fetched: Column, stays: Column, added: tuple[str, str]) -> DataFrame:
     """docs without the repeated parts of texts.
 
-    Of the text column: found, its parts as structs (idx, h: hash); fetched, of ``__w`` (array of idx, h) the structs (h, kept: bytes);
-    stays, what is left without ``__r`` (array of idx, kept) where the bytes are equal: struct(text, n: lines before, kept: lines).
+    parts: of the texts with two or more lines, rows (__d, __t, __null, idx, h: hash) and what _repeated tells of them, written. Of the text
+    column: fetched, of ``__w`` (array of idx, h) the structs (h, kept: bytes); stays, what is left without ``__r`` (array of idx, kept) where
+    the bytes are equal: struct(text, n: lines before, kept: lines).
     """
     own = [c for c in docs.columns if c not in added]
     keyed = docs.select(*(F.col(f"`{c}`") for c in own), F.coalesce(F.col("doc_id"), F.lit(0).cast("long")).alias("__d"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("__t"))
     slim = keyed.select("__d", "__t", F.col("doc_id").isNull().alias("__null"), "text")
-    rows = slim.where(F.col("text").contains("\n")).select("__d", "__t", "__null", F.explode(found).alias("c")).select("__d", "__t", "__null", "c.idx", "c.h")
-    first = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("__null", "__d", "__t", "idx")).alias("f")).where("n >= 2").select("h", "n", F.col("f.__d").alias("fd"), F.col("f.__t").alias("ft"), F.col("f.idx").alias("fi")))
+    rows, first = parts(slim.where(F.col("text").contains("\n")))
     wanted = first.groupBy(F.col("fd").alias("__d"), F.col("ft").alias("__t")).agg(F.collect_list(F.struct(F.col("fi").alias("idx"), "h")).alias("__w"))
     kept = slim.join(wanted, ["__d", "__t"]).select(F.explode(fetched).alias("k")).select("k.h", "k.kept")
     stay = cut(first.join(kept.groupBy("h").agg(F.first("kept").alias("kept")), "h"))  # a row given twice fetches twice
@@ -103,29 +118,61 @@ def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 3, added: tuple
         parts = F.filter(cs, lambda c: ~F.coalesce(gone(c), F.lit(False)))
         return F.struct(F.array_join(F.transform(parts, lambda c: _joined(ls, c)), "\n").alias("text"), F.size(ls).alias("n"), F.aggregate(parts, F.lit(0), lambda a, c: a + c["n"]).alias("kept"))
 
-    return _deduped(docs, *(chunks(F.col("text"), window, divisor, f) for f in (found, fetched, stays)), added)
+    def parts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        rows = texts.select("__d", "__t", "__null", F.explode(chunks(F.col("text"), window, divisor, found)).alias("c")).select("__d", "__t", "__null", "c.idx", "c.h")
+        return rows, cut(_repeated(_firsts(rows)))
+
+    return _deduped(docs, parts, *(chunks(F.col("text"), window, divisor, f) for f in (fetched, stays)), added)
+
+
+def passage_parts(texts: DataFrame, window: int, divisor: int) -> tuple[DataFrame, DataFrame]:
+    """Chunks of all texts and the pairs of lines inside distinct chunks and across borders: rows and repeated parts as _deduped takes them.
+
+    idx: struct(at: first line from 0, n: lines). A pair inside a chunk that stands earlier is no row: its two lines go with the chunk,
+    and where the pair is first, its chunk is first too.
+    """
+
+    def found(ls: Column, cs: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(0), F.size(ls) - 2), lambda i: F.xxhash64(F.lit(2), F.concat(F.get(ls, i), F.lit("\n"), F.get(ls, i + 1))))
+
+        def part(c: Column, p: Column) -> Column:
+            at = c["first"] - 1
+            return F.struct(F.struct(at.alias("at"), c["n"].alias("n")).alias("idx"), F.xxhash64(_joined(ls, c)).alias("h"), F.slice(p, c["first"], c["n"] - 1).alias("inside"), F.get(p, at + c["n"] - 1).alias("across"))
+
+        return let(pairs, lambda p: F.transform(cs, lambda c: part(c, p)))
+
+    def pair(at: Column) -> Column:
+        return F.struct(at.cast("int").alias("at"), F.lit(2).alias("n")).alias("idx")
+
+    where = ["__d", "__t", "__null"]
+    cs = cut(texts.select(*where, F.explode(chunks(F.col("text"), window, divisor, found, joined=True)).alias("c")).select(*where, "c.*"))
+    firsts = cut(_firsts(cs, "inside"))
+    inside = firsts.select("f.*").select(*where, "idx", F.posexplode("inside").alias("k", "h")).select(*where, pair(F.col("idx.at") + F.col("k")), "h")
+    across = cs.where("across is not null").select(*where, pair(F.col("idx.at") + F.col("idx.n") - 1), F.col("across").alias("h"))
+    pairs = inside.unionByName(across)
+    return cs.select(*where, "idx", "h").unionByName(pairs), cut(_repeated(firsts).unionByName(_repeated(_firsts(pairs))))
 
 
-def dedup_passages(docs: DataFrame, added: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+def dedup_passages(docs: DataFrame, window: int = 2, divisor: int = 3, added: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """docs as :func:`dedup_lines` gives them, without any line of a run of two or more lines that stands earlier.
 
-    Each pair of neighbouring lines that occurs more than once stays where it is first (smallest doc_id, then
-    earliest); the two lines of every other one go after their bytes were compared. All that dedup_lines removes
-    goes too, a repeated text of two or more lines goes whole, and each line that goes stays somewhere else. Of
-    a run that repeats within itself (a, a, a) its first line stays.
+    Chunks have two lines or more here, so a repeated text goes whole by its chunks; every later chunk goes. Of what is
+    left, each pair of neighbouring lines that occurs more than once stays where it is first (smallest doc_id, then
+    earliest); the two lines of every other one go. All are removed after their bytes were compared. All that
+    dedup_lines removes goes too, and each line that goes stays somewhere else. Of a run that repeats within itself
+    (a, a, a) its first line stays. The result does not depend on where the borders fall.
     """
-    pair = lambda ls, i: F.concat(F.get(ls, i), F.lit("\n"), F.get(ls, i + 1))
     lines = F.split("text", "\n", -1)
+    joined = lambda ls, idx: F.array_join(F.slice(ls, idx["at"] + 1, idx["n"]), "\n")
 
     def stays(ls: Column) -> Column:
-        same = F.filter("__r", lambda r: r["kept"] == pair(ls, r["idx"]))
-        gone = F.flatten(F.transform(same, lambda r: F.array(r["idx"], r["idx"] + 1)))
+        same = F.filter("__r", lambda r: r["kept"] == joined(ls, r["idx"]))
+        gone = F.flatten(F.transform(same, lambda r: F.sequence(r["idx"]["at"], r["idx"]["at"] + r["idx"]["n"] - 1)))
         left = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone)
         return F.struct(F.array_join(F.transform(left, lambda i: F.get(ls, i)), "\n").alias("text"), F.size(ls).alias("n"), F.size(left).alias("kept"))
 
-    found = let(lines, lambda ls: F.transform(F.sequence(F.lit(0), F.size(ls) - 2), lambda i: F.struct(i.alias("idx"), F.xxhash64(pair(ls, i)).alias("h"))))
-    fetched = let(lines, lambda ls: F.transform("__w", lambda w: F.struct(w["h"].alias("h"), pair(ls, w["idx"]).alias("kept"))))
-    return _deduped(docs, found, fetched, let(lines, stays), added)
+    fetched = let(lines, lambda ls: F.transform("__w", lambda w: F.struct(w["h"].alias("h"), joined(ls, w["idx"]).alias("kept"))))
+    return _deduped(docs, lambda texts: passage_parts(texts, window, divisor), fetched, let(lines, stays), added)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = dedup_passages(docs, ("__lines", "__gone")).where("not (__gone > 0 and __gone = __lines)")
+    clean = dedup_passages(docs, added=("__lines", "__gone")).where("not (__gone > 0 and __gone = __lines)")
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.when(F.col("__gone") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return clean.select(*map(quoted, docs.columns))

@@ -98,3 +98,11 @@ def test_columns_named_like_the_stages_own_are_kept(spark):
         out = stage(spark, docs, "/root/testdata/sf0.001")
         rows = out.collect()
         assert out.columns == docs.columns and len(rows) == 3 and all(r[n] == 7.5 for r in rows for n in own)
+
+
+def test_line_dedup_stage_compares_content_defined_chunks(spark, monkeypatch):
+    cut_by, real = [], linechunks.chunks
+    monkeypatch.setattr(linechunks, "chunks", lambda text, window, divisor, *more, **named: cut_by.append((window, divisor)) or real(text, window, divisor, *more, **named))
+    docs = spark.createDataFrame([(1, "a\nb\nc", "s"), (2, "z\na\nb\ny", "s"), (3, "a\nb\nc", "s")], "doc_id long, text string, source string")
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.without_repeated_lines(spark, docs, DIR).collect()}
+    assert cut_by == [(2, 3)] and left == {1: "a\nb\nc", 2: "z\ny"}

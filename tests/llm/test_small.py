@@ -577,6 +577,36 @@ def test_passages_of_given_documents(spark):
     assert all(r["n_removed"] <= got[r["doc_id"]][2] for r in linechunks.dedup_lines(docs).collect())
 
 
+def test_passages_are_found_by_content_defined_chunks(spark):
+    rng = random.Random(6)
+    texts = ["\n".join(f"line {rng.randrange(400)}" for _ in range(rng.choice((2, 3, 9, 40)))) for _ in range(60)]
+    texts += texts[:30] + ["\n".join(["head", *t.split("\n"), "tail"]) for t in texts[:10]]
+
+    def chunked(t):  # a border where the rolling hash of two lines is divisible by 3, unless the line before or after has one or the text ends
+        lines = t.split("\n")
+        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+        border = [i > 0 and (h[i - 1] % 1_000_003 * 257 + h[i]) % 1_000_003 % 3 == 0 for i in range(len(lines))]
+        ends = [i for i in range(1, len(lines) - 2) if border[i] and not border[i - 1]] + [len(lines) - 1]
+        return [(a, e + 1 - a) for a, e in zip([0, *(e + 1 for e in ends)], ends, strict=False)]
+
+    docs = documents(spark, texts).selectExpr("doc_id as __d", "xxhash64(text) as __t", "false as __null", "text")
+    rows, first = linechunks.passage_parts(docs, 2, 3)
+    got = collections.Counter((r["__d"], r["idx"]["at"], r["idx"]["n"]) for r in rows.collect())
+    want, seen = collections.Counter(), set()
+    for d, t in enumerate(texts):
+        cs, lines = chunked(t), t.split("\n")
+        assert all(n >= 2 for _, n in cs) and sum(n for _, n in cs) == len(lines)
+        want.update((d, a, n) for a, n in cs)
+        want.update((d, a + n - 1, 2) for a, n in cs[:-1])
+        for a, n in cs:
+            if (part := tuple(lines[a : a + n])) not in seen:  # pairs inside a chunk are compared once for all its copies
+                want.update((d, i, 2) for i in range(a, a + n - 1))
+            seen.add(part)
+    assert got == want and len(got) < sum(len(t.split("\n")) * 2 for t in texts) and first.count() > 100
+    out = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in linechunks.dedup_passages(documents(spark, texts)).collect()}
+    assert out == dict(enumerate(passages_by_definition(texts))) and all(out[i][0] == "" for i in range(60, 90))
+
+
 def jaccard(a, b):
     x, y = (set(simhash.shingle_hashes(t, 5).tolist()) for t in (a, b))
     return len(x & y) / len(x | y) if x | y else 1.0
