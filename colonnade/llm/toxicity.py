@@ -21,7 +21,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,10 @@ LETTER = r"[^\W\d_]"
 HIDDEN = re.compile(rf"[0-9@$!|+(€]{LETTER}|{LETTER}[0-9@$|+€]|{LETTER}[!(]+[0-9@$|+€]|({LETTER})\1|{LETTER}[.\-_*]+{LETTER}")
 SPACED = re.compile(r"(?<!\S)(?:[^\s_.\-*][ .\-_*]+){2,}[^\s_.\-*](?!\S)")
 WORD = re.compile(rf"{LETTER}+")
+#: Letters that can stand for themselves only; the bound keeps a stretch that is no word short.
+PLAIN = re.compile(rf"(?:({LETTER})(?!\1)){{1,64}}")
+RUN = re.compile(r"(.)\1*", re.S)
+TWICE = re.compile(r"(.)\1")
 OTHER, SIZE = 63, 64
 CHANNEL = {"same": 0.0, "double": math.log(0.4), "look": math.log(0.5), "plain": math.log(0.03), "join": math.log(0.7), "gap": math.log(0.1)}
 
@@ -58,6 +62,8 @@ def _classes() -> np.ndarray:
     return out
 
 
+#: 1: a separator, 2: other characters up to the space.
+GAPS = np.array([1 if chr(c) in SEPARATORS else 2 if c <= 32 else 0 for c in range(256)], np.uint8)
 _TABLE: list[np.ndarray] = []
 
 
@@ -120,12 +126,25 @@ def _options(c: str, n: int, inside: bool) -> list[tuple[str, float]]:
 
 
 def decode(observed: str, model: CharModel) -> str:
-    """The likeliest intended text of one observed stretch (lower case)."""
+    """The likeliest intended text of one observed stretch (lower case).
+
+    Where one path is left, letters that stand for themselves only add the same to all that follows, so they are passed over.
+    """
     log, table = model.flat(), classes()
     sym = lambda c: int(table[ord(c)]) if ord(c) < 1 << 16 else OTHER
-    runs = [(m.group()[0], len(m.group())) for m in re.finditer(r"(.)\1*", observed, re.S)]
     best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-    for k, (c, n) in enumerate(runs):
+    at, size = 0, len(observed)
+    while at < size:
+        if len(best) == 1 and (m := PLAIN.match(observed, at)):
+            s = m.group()
+            if not s.isalpha():  # a digit like ² among them
+                s = s[: next(i for i, x in enumerate(s) if not x.isalpha())]
+            if s:
+                ((_, b), (score, path)), at = next(iter(best.items())), at + len(s)
+                best = {(sym(s[-2]) if len(s) > 1 else b, sym(s[-1])): (score, (path, s))}
+                continue
+        end = RUN.match(observed, at).end()
+        c, n, inside, at = observed[at], end - at, 0 < at and end < size, end
         new: dict[tuple[int, int], tuple[float, tuple]] = {}
         if n == 1 and c.isalpha():  # one way, at no cost
             z = sym(c)
@@ -135,7 +154,7 @@ def decode(observed: str, model: CharModel) -> str:
                     new[y] = (now, (path, c))
             best = new
             continue
-        for s, cost in _options(c, n, 0 < k < len(runs) - 1):
+        for s, cost in _options(c, n, inside):
             syms = [sym(x) for x in s]
             for (a, b), (score, path) in best.items():
                 now, x, y = score + cost, a, b
@@ -154,46 +173,58 @@ def decode(observed: str, model: CharModel) -> str:
     return "".join(reversed(parts))
 
 
+class Kept(dict):
+    """What make gave for each key, up to ``keep`` of them."""
+
+    def __init__(self, make: Callable[[str], object], keep: int) -> None:
+        self.make, self.keep = make, keep
+
+    def __missing__(self, key: str) -> object:
+        if len(self) >= self.keep:
+            self.clear()
+        found = self[key] = self.make(key)
+        return found
+
+
+def spaced_out(text: str) -> bool:
+    """Whether three characters in a row, separators left out, have nothing but separators or white space beside them."""
+    gap = GAPS[np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.minimum(code_points(text), 255)]
+    edge = np.concatenate([[True], gap > 0, [True]])
+    lone = np.flatnonzero((gap != 1) & edge[:-2] & edge[2:])
+    if len(lone) < 3:
+        return False
+    nth = np.cumsum(gap != 1)[lone]
+    return bool((nth[2:] - nth[:-2] == 2).any())
+
+
 class Restorer:
     """Distinct restored words of a text; keeps what it has decoded, up to ``keep`` tokens and stretches."""
 
     def __init__(self, model: CharModel, keep: int = 200_000) -> None:
-        self.model, self.keep, self.known, self.tokens = model, keep, {}, {}
+        self.model, self.known, self.tokens = model, Kept(self.decoded, keep), Kept(self.restored, keep)
 
     def decoded(self, s: str) -> list[str]:
-        if s not in self.known:
-            if len(self.known) >= self.keep:
-                self.known.clear()
-            self.known[s] = WORD.findall(decode(s, self.model))
-        return self.known[s]
+        return WORD.findall(decode(s, self.model))
 
     def restored(self, t: str) -> list[str]:
         """Words of one token: as it is, unless letters may be hidden in it. A word of letters alone also stays as it is."""
-        if len(self.tokens) >= self.keep:
-            self.tokens.clear()
+        s = t.rstrip(".,;:")
+        if s.isalpha():  # only a doubled letter can hide something then
+            return [s, *self.decoded(t)] if TWICE.search(s) else [s]
         s = t.strip(EDGES)
         own = [s] if s.isalpha() else []
-        found = own + WORD.findall(decode(t, self.model)) if HIDDEN.search(t) else own or WORD.findall(s)
-        return self.tokens.setdefault(t, found)
+        return own + self.decoded(t) if HIDDEN.search(t) else own or WORD.findall(s)
 
     def words(self, text: str | None) -> set[str]:
         low = (text or "").lower()
         if not low:
             return set()
         out: set[str] = set()
-        tokens = self.tokens
-        for t in set(low.split()):
-            out.update(tokens[t] if t in tokens else self.restored(t))
-        cp = code_points(low)
-        if len(cp) > 4:
-            gap = np.isin(cp, [ord(c) for c in SEPARATORS])
-            one = np.flatnonzero(~gap)
-            apart = np.diff(one, prepend=-2, append=len(cp) + 1) > 1
-            lone = (apart[:-1] | (cp[np.maximum(one - 1, 0)] <= 32)) & (apart[1:] | (cp[np.minimum(one + 1, len(cp) - 1)] <= 32))
-            if (lone[:-2] & lone[1:-1] & lone[2:]).any():
-                for m in SPACED.finditer(low):
-                    if WORD.search(m.group()):
-                        out.update(self.decoded(m.group()))
+        out.update(*map(self.tokens.__getitem__, set(low.split())))
+        if len(low) > 4 and spaced_out(low):
+            for m in SPACED.finditer(low):
+                if WORD.search(m.group()):
+                    out.update(self.known[m.group()])
         return out
 
 
@@ -266,20 +297,17 @@ def chosen_penalty(rows: list[tuple[list[int], list[float]]], y: np.ndarray, siz
 class Scorer:
     def __init__(self, weights: dict[str, float], bias: float, length: float, restorer: Restorer) -> None:
         self.weights, self.bias, self.length, self.restorer = weights, bias, length, restorer
-        self.known: dict[str, float] = {}
+        self.stems = {f[:3] for f in weights if f[:1] != "="}
+        self.known = Kept(self.word, 1_000_000)
 
     def word(self, w: str) -> float:
-        got = self.known.get(w)
-        if got is None:
-            if len(self.known) >= 1_000_000:
-                self.known.clear()
-            get = self.weights.get
-            got = self.known[w] = math.fsum(x for x in map(get, features(w)) if x is not None)
-        return got
+        """The sum of its features' weights."""
+        get = self.weights.get
+        return math.fsum(x for x in map(get, features(w)) if x is not None) if w[:3] in self.stems else get(f"={w}", 0.0)
 
     def score(self, text: str | None) -> float:
         words = self.restorer.words(text)
-        z = math.fsum([self.bias, self.length * math.log1p(len(words)), *map(self.word, words)])
+        z = math.fsum([self.bias, self.length * math.log1p(len(words)), *map(self.known.__getitem__, words)])
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 

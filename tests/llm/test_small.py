@@ -722,3 +722,59 @@ def test_small_bitmaps_differ_in_no_more_bits_than_sets():
         y = np.concatenate([x[n // 5 :], rng.integers(0, 2**63, n // 7, dtype=np.uint64)])
         maps = [np.bitwise_xor.reduce(np.frombuffer(similar.bitmap(s), np.uint64).reshape(-1, similar.SMALL // 64)) for s in (x, y)]
         assert np.bitwise_count(maps[0] ^ maps[1]).sum() <= len(np.setxor1d(x, y))
+
+
+def decoded_by_definition(observed, model):
+    """Viterbi over every run of characters."""
+    log, table = model.flat(), toxicity.classes()
+    runs = [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", observed, re.S)]
+    best = {(0, 0): (0.0, "")}
+    for k, (c, n) in enumerate(runs):
+        new = {}
+        for s, cost in toxicity._options(c, n, 0 < k < len(runs) - 1):
+            for (a, b), (score, path) in best.items():
+                now, x, y = score + cost, a, b
+                for z in (int(table[ord(ch)]) if ord(ch) < 1 << 16 else toxicity.OTHER for ch in s):
+                    if not (z == 0 and y == 0):
+                        now += log[(x * 64 + y) * 64 + z]
+                        x, y = y, z
+                if (x, y) not in new or now > new[x, y][0]:
+                    new[x, y] = (now, path + s)
+        best = new
+    return max(best.items(), key=lambda e: (e[1][0] + log[(e[0][0] * 64 + e[0][1]) * 64], e[0]))[1][1]
+
+
+def test_decoding_passes_over_letters_that_stand_for_themselves():
+    rng = np.random.default_rng(4)
+    model = toxicity.CharModel(np.arange(64**3), rng.integers(0, 50, 64**3))
+
+    class Counted(list):
+        seen = 0
+
+        def __getitem__(self, i):
+            Counted.seen += 1
+            return super().__getitem__(i)
+
+    some = random.Random(4)
+    tokens = ["".join(some.choice("aabbeost01$.!-* ²éß😀,1") for _ in range(some.randint(1, 14))) for _ in range(3000)]
+    tokens += ["committee", "übermorgen", "aab", "baa", "aabb", "a²²b", "x" * 200, "ab" * 100 + "cc"]
+    assert [toxicity.decode(t, model) for t in tokens] == [decoded_by_definition(t, model) for t in tokens]
+    model._flat = Counted(model.flat())
+    toxicity.decode("representation" * 10 + "ss" + "representation" * 10, model)
+    assert Counted.seen <= 12
+
+
+def test_tokens_and_texts_open_lattices_by_definition():
+    rng = random.Random(8)
+    model = toxicity.CharModel(np.arange(64**3), np.ones(64**3))
+    restorer = toxicity.Restorer(model, keep=50)
+    for _ in range(3000):
+        t = "".join(rng.choice("aabeost01$.,;:!-*²é") for _ in range(rng.randint(1, 9)))
+        s = t.strip(toxicity.EDGES)
+        own = [s] if s.isalpha() else []
+        assert set(restorer.restored(t)) == set(own + toxicity.WORD.findall(toxicity.decode(t, model)) if toxicity.HIDDEN.search(t) else own or toxicity.WORD.findall(s)), t
+        low = "".join(rng.choice("ab .-\n\té") for _ in range(rng.randint(3, 12)))
+        one = [i for i, c in enumerate(low) if c not in toxicity.SEPARATORS]
+        bare = [all(not 0 <= j < len(low) or low[j] in toxicity.SEPARATORS or ord(low[j]) <= 32 for j in (i - 1, i + 1)) for i in one]
+        assert toxicity.spaced_out(low) == any(all(bare[k : k + 3]) for k in range(len(bare) - 2)), repr(low)
+    assert len(restorer.tokens) <= 50
