@@ -52,7 +52,8 @@ def occurrence_key(df: DataFrame, key: list[str], position: list[str], name: str
 def carry_ids(old: DataFrame, new: DataFrame, row_id: str, key: list[str], content: list[str], position: str) -> DataFrame:
     """new with row_id and how it was found: a carried id that was there before, the declared key, exact content, or minted.
 
-    Each old row gives its id once: repeats of key or content pair off in their order.
+    Each old row gives its id once: repeats of key or content pair off in their order. Minted ids are hashes of key and content; rows
+    that repeat both get _2, _3 and so on, while rows that only share their content have different ids without that.
     """
     def ranked(df: DataFrame, by: list[Column], tag: str) -> DataFrame:
         return df.withColumn(tag, F.row_number().over(Window.partitionBy(*by).orderBy(position)))
@@ -60,7 +61,7 @@ def carry_ids(old: DataFrame, new: DataFrame, row_id: str, key: list[str], conte
     keyed = F.concat_ws("\x1f", *map(_text, key))
     sig = signature(content)
     was = ranked(ranked(old.select(F.col(row_id).alias("old_id"), keyed.alias("k"), sig.alias("s"), F.col(position)), [F.col("k")], "kn"), [F.col("s")], "sn")
-    now = ranked(ranked(new.withColumns({"k": keyed, "s": sig}), [F.col("k")], "kn"), [F.col("s")], "sn")
+    now = ranked(ranked(ranked(new.withColumns({"k": keyed, "s": sig}), [F.col("k")], "kn"), [F.col("s")], "sn"), [F.col("k"), F.col("s")], "ksn")
     by_id = was.select(F.col("old_id").alias("id1"))
     step = now.join(by_id, F.col(row_id) == F.col("id1"), "left")
     taken = step.where("id1 is not null").select(F.col("id1").alias("used"))
@@ -69,7 +70,7 @@ def carry_ids(old: DataFrame, new: DataFrame, row_id: str, key: list[str], conte
     used = step.where("id2 is not null").select(F.col("id2").alias("used"))
     rest = free.join(used, F.col("old_id") == F.col("used"), "left_anti")
     step = step.join(rest.select(F.col("old_id").alias("id3"), F.col("s").alias("s3"), F.col("sn").alias("sn3")), (F.coalesce("id1", "id2").isNull()) & (F.col("s") == F.col("s3")) & (F.col("sn") == F.col("sn3")), "left")
-    mint = F.concat(minted_id([*key, *content]), F.when(F.col("sn") > 1, F.concat(F.lit("_"), F.col("sn").cast("string"))).otherwise(F.lit("")))
+    mint = F.concat(minted_id([*key, *content]), F.when(F.col("ksn") > 1, F.concat(F.lit("_"), F.col("ksn").cast("string"))).otherwise(F.lit("")))
     how = F.when(F.col("id1").isNotNull(), "carried").when(F.col("id2").isNotNull(), "key").when(F.col("id3").isNotNull(), "content").otherwise("minted")
     return step.select(*(c for c in new.columns if c != row_id), F.coalesce("id1", "id2", "id3", mint).alias(row_id), how.alias("found_by"))
 

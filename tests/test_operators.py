@@ -200,3 +200,11 @@ def test_repeated_merge_keys_are_conflicts(spark):
     _, conflicts = merge.merge(base, ours, base, "id")
     assert ("repeated key", "2", None, "1", "2", "1") in {tuple(r) for r in conflicts.collect()}
     assert merge.merge(base, base, base, "id")[1].count() == 0
+
+
+def test_minted_ids_count_only_rows_that_repeat_key_and_content(spark):
+    old = spark.createDataFrame([(1, "a", "old1")], "k long, v string, row_id string")
+    new = spark.createDataFrame([(1, "a", None, 0), (2, "b", None, 1), (3, "b", None, 2), (3, "b", None, 3)], "k long, v string, row_id string, pos long")
+    got = versions.carry_ids(old.withColumn("pos", F.col("k")), new, "row_id", ["k"], ["v"], "pos").orderBy("pos").collect()
+    plain = [r["m"] for r in new.select("pos", versions.minted_id(["k", "v"]).alias("m")).orderBy("pos").collect()]
+    assert [r["row_id"] for r in got] == ["old1", plain[1], plain[2], plain[3] + "_2"]
