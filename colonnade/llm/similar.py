@@ -24,11 +24,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colonnade.functions.shared import cut
@@ -147,26 +148,54 @@ def room(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(5 * np.minimum(a, b) >= 4 * np.maximum(a, b), a + b + 2 * (-4 * (a + b) // 9), -1)
 
 
-def candidates(classes: DataFrame, bits: int, radius: int, n: int, block: int = 200_000) -> DataFrame:
+def dealing(n: int, bits: int, half: int, block: int) -> tuple[list[tuple[int, ...]], int]:
+    """(choices of parts, each given by its lowest bit; bits of a part): about ``block`` of n fingerprints that are alike in a choice come to a group.
+
+    A word lies within ``half`` flips of each of two fingerprints that meet on it, so of 2 * half + c parts of the bits at least c are
+    those of both. Each choice of c parts deals the fingerprints by their bits there: comb(2 * half + c, c) copies, whatever n is up to
+    block * 2 ** (c * width). Without parts (c = 0) one group has all.
+    """
+    widths = [bits // (2 * half + c) for c in range(bits - 2 * half + 1)] if half else [0, bits]
+    c = next((c for c, w in enumerate(widths) if n <= block << c * w), max(range(len(widths)), key=lambda c: c * widths[c]))
+    w = widths[c]
+    return list(combinations(range(0, (2 * half + c) * w, w) if w else [0], c)), w
+
+
+def turned(fps: np.ndarray, parts: tuple[int, ...], width: int, bits: int) -> np.ndarray:
+    """The fingerprints with the bits of these parts in front."""
+    front = [p + i for p in parts for i in range(width - 1, -1, -1)]
+    out = np.zeros(len(fps), np.uint64)
+    for i in [*front, *sorted({*range(bits)} - {*front}, reverse=True)]:
+        out = out << np.uint64(1) | (fps >> np.uint64(i)) & np.uint64(1)
+    return out
+
+
+def candidates(classes: DataFrame, bits: int, radius: int, n: int, block: int = 400_000) -> DataFrame:
     """classes (node, size, small, fps), n of them: distinct (u, v), u < v, that sizes and small bitmaps don't rule out.
 
-    About ``block`` fingerprints come to one task.
+    About ``block`` fingerprints come to one task (:func:`dealing`). Each text that a word joins with the first of all its texts
+    meets that one in a group too, for both keep the bits of one choice of parts.
     """
     half = radius // 2
-    reached = lambda lead: n * len(_masks(lead, half)) / (1 << lead)
-    lead = next((b for b in range(bits) if reached(b) <= block), bits)
-    reach = F.array(*(F.lit(int(m)).cast("long") for m in _masks(lead, half)))
-    own = F.shiftrightunsigned("fp", bits - lead) if lead else F.lit(0).cast("long")
+    ways, width = dealing(n, bits, half, block)
+    lead = width * len(ways[0])
     each = classes.select("node", "size", "small", F.posexplode("fps").alias("nth", "fp"))
-    first = F.col("nth").cast("long") * F.lit(1 << lead)
-    dealt = each.select(F.explode(F.transform(reach, lambda m: first + own.bitwiseXOR(m))).alias("g"), "fp", "node", "size", "small")
+
+    def group(way: int) -> Column:
+        own = F.col("nth").cast("long") * len(ways) + way
+        for p in ways[way]:
+            own = F.shiftleft(own, width).bitwiseOR(F.shiftrightunsigned("fp", p).bitwiseAND(F.lit((1 << width) - 1).cast("long")))
+        return own
+
+    dealt = each.select(F.explode(F.array(*map(group, range(len(ways))))).alias("g"), "fp", "node", "size", "small")
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         g = key[0].as_py()
+        nth, way = divmod(g >> lead, len(ways))
         node, fps, size = (table.column(c).to_numpy() for c in ("node", "fp", "size"))
         small = longs(table.column("small"), SMALL)
-        order = np.argsort((node.view(np.uint64) ^ np.uint64(g >> lead)) * np.uint64(0x9E3779B97F4A7C15))
-        node, fps, size, small = node[order], fps[order].view(np.uint64), size[order].astype(np.int64), small[order]
+        order = np.argsort((node.view(np.uint64) ^ np.uint64(nth)) * np.uint64(0x9E3779B97F4A7C15))
+        node, fps, size, small = node[order], turned(fps[order].view(np.uint64), ways[way], width, bits), size[order].astype(np.int64), small[order]
         found = [np.zeros(0, np.uint64)]
         for a, b in meetings(fps, np.arange(len(node), dtype=np.uint64), g & ((1 << lead) - 1), lead, bits, half):
             x, y = a.astype(np.int64), b.astype(np.int64)

@@ -667,6 +667,26 @@ def test_meetings_are_pairs_within_the_radius():
     assert byparts == found
 
 
+def test_dealing_copies_do_not_grow_with_the_texts(spark):
+    """Fingerprints go to few groups each however many texts there are, and no pair that meets in one group of all is missed."""
+    for n in (10**5, 10**6, 10**7, 10**8, 10**10):
+        bits, _ = similar.tables_for(n)
+        ways, width = similar.dealing(n, bits, 2, 400_000)
+        assert len({*ways}) == len(ways) <= (5 if n <= 10**7 else 15) and n <= 400_000 << width * len(ways[0]) and all(p + width <= bits for w in ways for p in w)
+    rng = np.random.default_rng(8)
+    bits = 20
+    base = rng.integers(0, 1 << bits, (60, 1), dtype=np.uint64)
+    flip = lambda k: sum(1 << int(i) for i in rng.choice(bits, k, replace=False))
+    fps = [*base, *([f ^ np.uint64(flip(k)) for f in row] for k in range(6) for row in base[:25])]
+    rows = [(node, 100, bytes(similar.SMALL // 8), [int(f) for f in row]) for node, row in enumerate(fps)]
+    classes = spark.createDataFrame(rows, "node long, size int, small binary, fps array<long>")
+    whole, *parts = ({tuple(r) for r in similar.candidates(classes, bits, 4, len(rows), block).collect()} for block in (10**6, 30, 4))
+    for block, found in zip((30, 4), parts, strict=True):
+        assert len(similar.dealing(len(rows), bits, 2, block)[0]) in (5, 15) and whole <= found
+        assert all(u < v and any((int(a) ^ int(b)).bit_count() <= 4 for a, b in zip(fps[u], fps[v], strict=True)) for u, v in found)
+    assert len(whole) > 100
+
+
 def test_tables_reach_the_recall():
     for n in (1, 1000, 10**6, 10**9, 10**11):
         bits, tables = similar.tables_for(n)
