@@ -208,3 +208,23 @@ def test_minted_ids_count_only_rows_that_repeat_key_and_content(spark):
     got = versions.carry_ids(old.withColumn("pos", F.col("k")), new, "row_id", ["k"], ["v"], "pos").orderBy("pos").collect()
     plain = [r["m"] for r in new.select("pos", versions.minted_id(["k", "v"]).alias("m")).orderBy("pos").collect()]
     assert [r["row_id"] for r in got] == ["old1", plain[1], plain[2], plain[3] + "_2"]
+
+
+def test_blocks_leave_in_pieces(spark):
+    """A worker hands blocks on after PIECE characters, not when a batch of texts is done."""
+    import pyarrow as pa
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+        mapInPandas = mapInArrow  # noqa: N815
+
+    texts = [f"{i}\n\n{'word ' * 30_000}\n" for i in range(40)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(42), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    out = list(documents.blocks(Docs())(iter([batch])))
+    assert len(out) > 4 and max(sum(map(len, b.column(3).to_pylist())) for b in out) < 2 * documents.PIECE
+    assert "".join(r for b in out for r in b.column(3).to_pylist()) == "".join(t or "" for t in texts) and {i for b in out for i in b.column(0).to_pylist()} == set(range(40))
