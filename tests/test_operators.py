@@ -228,3 +228,41 @@ def test_blocks_leave_in_pieces(spark):
     out = list(documents.blocks(Docs())(iter([batch])))
     assert len(out) > 4 and max(sum(map(len, b.column(3).to_pylist())) for b in out) < 2 * documents.PIECE
     assert "".join(r for b in out for r in b.column(3).to_pylist()) == "".join(t or "" for t in texts) and {i for b in out for i in b.column(0).to_pylist()} == set(range(40))
+
+
+def test_fuzzy_places_are_those_of_the_definition_with_few_comparisons(monkeypatch):
+    import difflib
+
+    def by_definition(quote, pos, text, fuzzy=0.5, margin=0.15):
+        low, high = max(0, pos - documents.WINDOW), min(len(text), pos + len(quote) + documents.WINDOW)
+        starts = [low + m.start() for m in documents.re.finditer(r"(?<!\w)\w", text[low:high])]
+        scored = [(r, s) for s in starts if (r := difflib.SequenceMatcher(None, text[s : s + len(quote)], quote, autojunk=False).ratio()) >= fuzzy]
+        if not scored:
+            return "orphan", None, 0.0
+        best = max(scored)
+        others = [r for r, s in scored if abs(s - best[1]) >= len(quote) // 2]
+        return ("fuzzy" if best[0] - max(others, default=0.0) >= margin else "ambiguous"), best[1], best[0]
+
+    rng, calls, seen = random.Random(4), [0], set()
+
+    class Counting(difflib.SequenceMatcher):
+        def ratio(self):
+            calls[0] += clear
+            return super().ratio()
+
+    for k in range(60):
+        clear = k % 3 > 0 and k % 5 > 0  # one place is by far the best
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz\U0001d51e", k=rng.randint(2, 8))) for _ in range(400)]
+        quote = " ".join(words[200:208])
+        words[203] = words[203] + "this" if k % 3 else "".join(rng.choices("xyzq", k=40))
+        if k % 5 == 0:
+            words[100:108] = words[200:208]
+        text = " ".join(words)
+        want = by_definition(quote, text.index(words[200]), text) if quote not in text else None
+        with monkeypatch.context() as m:
+            m.setattr(documents.difflib, "SequenceMatcher", Counting)
+            got = documents.resolve(quote, "", "", text.index(words[200]), text)
+        if want:
+            seen.add(got[0])
+            assert got == want
+    assert "fuzzy" in seen and len(seen) > 1 and calls[0] < 32 * 100  # of 32 texts of 400 places
